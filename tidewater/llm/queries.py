@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_codec, chat, mixing, pii, quality, token_counts
+from tidewater.llm import bpe_codec, chat, mixing, pii, quality, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, key="corpus-2024")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.round_trip(docs, vocabulary("byte_bpe_50k.json")).drop("text")
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_chat_format": op7_chat_format,
     "op8_pii": op8_pii,
@@ -64,5 +70,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_chat_format": chat.ORACLE,
 }
