@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_codec, chat, mixing, pii, quality, substring_dedup, token_counts
+from tidewater.llm import bpe_codec, chat, jaccard_join, mixing, pii, quality, substring_dedup, token_counts, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(docs, vocabulary("byte_bpe_50k.json")).drop("text")
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -65,11 +73,15 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_chat_format": op7_chat_format,
     "op8_pii": op8_pii,
+    "op9_vector_dedup": op9_vector_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
+#: op9 finds pairs by random projections and op8 is a keyed permutation: tests hold both against brute force.
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }

@@ -21,26 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels
-
-#: Bytes of text behind one hash range; a reducer holds one range at a time.
-RANGE_BYTES = 4 << 20
+from tidewater.llm.common import prime_below, range_count
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW = np.uint64((1 << 48) - 1)
 _SIGN = np.uint64(1 << 63)
 
 
-def range_count(df: DataFrame, text: str) -> int:
-    """A power of two of ranges so that each stands for about ``RANGE_BYTES`` of text."""
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(64, 1 << (int(total // RANGE_BYTES)).bit_length())
-
-
-def prime_below(n: int) -> int:
-    """The largest prime up to ``n``: identifiers modulo it are spread whatever their stride."""
-    return next(p for p in range(n, 1, -1) if all(p % d for d in range(2, int(p**0.5) + 1)))
-
-
 def ordered(ids: np.ndarray) -> np.ndarray:
     """Signed identifiers as unsigned ones in the same order."""
     return ids.astype(np.int64).view(np.uint64) ^ _SIGN
