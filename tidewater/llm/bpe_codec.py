@@ -3,7 +3,7 @@
 Two neighbouring bytes that never stand side by side inside any token of the vocabulary mark a certain
 cut: no merge can cross it. Fragments between cuts are encoded independently and concatenated. The
 pre-tokeniser's own boundaries are cuts as well. Fragments are short, so work per text is linear; what
-a fragment and a white-space delimited chunk become is remembered in bounded tables per Python worker.
+a chunk becomes is remembered in a bounded table per Python worker.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ _SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_CHUNKS = re.compile(r"\s*\S+|\s+")
+#: Chunks end where the pre-tokeniser cuts whatever comes next: between other characters and white space,
+#: after a word of letters before white space, full stop or comma, and around a line feed before a word.
+_CHUNKS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s.,])|\n(?=\S)|\s*\S+|\s+")
 
 #: Entries remembered per worker, and the longest chunk that is.
-CACHE_CHUNKS, CACHE_LENGTH = 350_000, 48
+CACHE_CHUNKS, CACHE_LENGTH = 500_000, 48
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -53,7 +55,10 @@ class Codec:
         self.token = dict(raw)
         self.of_byte = {t[0]: i for i, t in raw.items() if len(t) == 1}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merge = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in enumerate(pairs)}
+        if len(ids) >= 1 << 20:
+            raise ValueError("vocabularies of 2^20 tokens or more are not supported")
+        self.rank = {ids[a] << 20 | ids[b]: k for k, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         self.joined = bytearray(65536)
         for t in raw.values():
             for a, b in zip(t, t[1:]):
@@ -64,63 +69,59 @@ class Codec:
         self.token |= {i: s.encode() for s, i in self.special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, str, bytes]] = {}
 
     def cut(self, piece: bytes) -> list[bytes]:
         """The fragments of a piece between certain cuts."""
-        at = [k + 1 for k in range(len(piece) - 1) if not self.joined[piece[k] << 8 | piece[k + 1]]]
-        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])]
+        joined = self.joined
+        at = [k for k, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not joined[a << 8 | b]]
+        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def merged(self, fragment: bytes) -> tuple[int, ...]:
+    def merged(self, fragment: bytes) -> list[int]:
         """Identifiers of one fragment: lowest-rank pair first, leftmost among equals."""
-        got = self.fragments.get(fragment)
-        if got is not None:
-            return got
         ids = [self.of_byte[b] for b in fragment]
         if len(ids) > 400:
             return self._merged_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for k in range(len(ids) - 1):
-                m = merge.get((ids[k], ids[k + 1]))
-                if m is not None and m[0] < best:
-                    (best, new), at = m, k
-            if at < 0:
-                break
-            ids[at : at + 2] = [new]
-        got = tuple(ids)
-        if len(fragment) <= CACHE_LENGTH:
-            if len(self.fragments) >= CACHE_CHUNKS // 2:
-                self.fragments.clear()
-            self.fragments[fragment] = got
-        return got
-
-    def _merged_long(self, ids: list[int]) -> tuple[int, ...]:
+        rank_of, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank_of(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            new = made[best]
+            ids[k : k + 2] = [new]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank_of(ids[k - 1] << 20 | new, none)
+            if k < len(ranks):
+                ranks[k] = rank_of(new << 20 | ids[k + 1], none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
         """The same by heap and linked list, for fragments of many bytes."""
         from heapq import heapify, heappop, heappush
 
-        n, merge = len(ids), self.merge
+        n, rank_of, made = len(ids), self.rank.get, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merge.get((ids[k], ids[k + 1])))]
+        pairs = enumerate(zip(ids, ids[1:]))
+        heap = [(r, k, a, b) for k, (a, b) in pairs if (r := rank_of(a << 20 | b)) is not None]
         heapify(heap)
         while heap:
-            _, k, a, b, new = heappop(heap)
+            best, k, a, b = heappop(heap)
             if ids[k] != a or (r := after[k]) >= n or ids[r] != b:
                 continue
+            new = made[best]
             ids[k], ids[r], after[k] = new, -1, after[r]
-            if after[k] < n:
-                before[after[k]] = k
-                if m := merge.get((new, ids[after[k]])):
-                    heappush(heap, (m[0], k, new, ids[after[k]], m[1]))
-            if (p := before[k]) >= 0 and (m := merge.get((ids[p], new))):
-                heappush(heap, (m[0], p, ids[p], new, m[1]))
-        return tuple(i for i in ids if i >= 0)
+            if (f := after[k]) < n:
+                before[f] = k
+                if (x := rank_of(new << 20 | ids[f])) is not None:
+                    heappush(heap, (x, k, new, ids[f]))
+            if (p := before[k]) >= 0 and (x := rank_of(ids[p] << 20 | new)) is not None:
+                heappush(heap, (x, p, ids[p], new))
+        return [i for i in ids if i >= 0]
 
     def plain(self, text: str) -> list[int]:
         """Identifiers of a text without special tokens."""
-        return [i for p in _SPLIT.findall(text) for f in self.cut(p.encode()) for i in self.merged(f)]
+        pieces = (text,) if text[text[:1] == " " :].isalpha() else _SPLIT.findall(text)
+        return [i for p in pieces for f in self.cut(p.encode()) for i in self.merged(f)]
 
     def segments(self, text: str):
         """(segment, identifier of the special token it is or None)."""
@@ -139,28 +140,35 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of identifiers, SHA-256 of them joined by commas, SHA-256 of the decoded text."""
-        n, said, made, seen = 0, [], [], self.chunks
+        n, said, made = 0, [], []
         for part, special in self.segments(text or ""):
             if special is not None:
-                n += 1
-                said.append(f",{special}")
-                made.append(self.token[special])
-                continue
-            for chunk in _CHUNKS.findall(part):
-                got = seen.get(chunk)
-                if got is None:
-                    ids = self.plain(chunk)
-                    got = (len(ids), "".join([f",{i}" for i in ids]), b"".join(map(self.token.__getitem__, ids)))
-                    if len(chunk) <= CACHE_LENGTH:
-                        if len(seen) >= CACHE_CHUNKS:
-                            seen.clear()
-                        seen[chunk] = got
-                n += got[0]
-                said.append(got[1])
-                made.append(got[2])
+                got = [(1, f",{special}", self.token[special])]
+            else:
+                chunks = _CHUNKS.findall(part)
+                got = list(map(self.chunks.get, chunks))
+                if None in got:
+                    got = [g or self.chunk(c) for g, c in zip(got, chunks)]
+            if got:
+                counts, ids, back = zip(*got)
+                n += sum(counts)
+                said += ids
+                made += back
         back = b"".join(made).decode("utf-8", "replace").encode()
         return n, hashlib.sha256("".join(said)[1:].encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
+    def chunk(self, chunk: str) -> tuple[int, str, bytes]:
+        """Number of identifiers, the identifiers with leading commas, and the bytes they decode to."""
+        got = self.chunks.get(chunk)
+        if got is None:
+            ids = self.plain(chunk)
+            got = (len(ids), "".join([f",{i}" for i in ids]), b"".join(map(self.token.__getitem__, ids)))
+            if len(chunk) <= CACHE_LENGTH:
+                if len(self.chunks) >= CACHE_CHUNKS:
+                    self.chunks.clear()
+                self.chunks[chunk] = got
+        return got
+
 
 _codecs: dict[str, Codec] = {}
 
