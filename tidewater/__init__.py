@@ -1,0 +1,22 @@
+"""A Spark engine for time series of sensors, with operators for text corpora.
+
+Subpackages are imported when they are first used.
+"""
+
+from __future__ import annotations
+
+import importlib
+
+__version__ = "0.1.0"
+
+_SUBPACKAGES = ("core", "evaluation", "functions", "models", "operators", "plans", "sources", "streaming")
+
+
+def __getattr__(name: str):
+    if name in _SUBPACKAGES:
+        return importlib.import_module(f"tidewater.{name}")
+    raise AttributeError(f"module 'tidewater' has no attribute {name!r}")
+
+
+def __dir__() -> list[str]:
+    return sorted([*globals(), *_SUBPACKAGES])
