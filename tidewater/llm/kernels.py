@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,30 @@ import pyarrow as pa
 #: Bytes of text hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 20
 
+
+
+def _system_memory(name: str, *args: int) -> None:
+    """Call the C library's allocator control, where there is one."""
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (OSError, AttributeError):
+        pass
+
+
+#: Arrays of this many bytes or more are mapped on their own, so that freeing them frees memory.
+MAPPED = 1 << 20
+_system_memory("mallopt", -3, MAPPED)
+
+
+def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on; at the end give freed memory back: Spark keeps its Python workers."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        _system_memory("malloc_trim", 0)
+
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = _U(0xC2B2AE3D27D4EB4F | 1)

@@ -189,16 +189,16 @@ def cut_repeats(df: DataFrame, *, width: int = 50, ident: str = "doc_id", text:
     docs = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(text).alias("text"))
     ranges = range_count(docs, "text")
     groups = prime_below(ranges)
-    sent = docs.mapInArrow(lambda it: _send(it, width, ranges, groups), "part int, grp int, hashes binary, owners binary, table binary")
+    sent = docs.mapInArrow(lambda it: kernels.tidy(_send(it, width, ranges, groups)), "part int, grp int, hashes binary, owners binary, table binary")
     sent = sent.repartition("part").sortWithinPartitions("part")
-    back = sent.mapInArrow(lambda it: _count(it, groups), "grp int, owners binary, low binary")
+    back = sent.mapInArrow(lambda it: kernels.tidy(_count(it, groups)), "grp int, owners binary, low binary")
     none = F.lit(None)
     blobs = back.select("grp", F.lit(0).alias("kind"), none.cast("bigint").alias("ident"), none.cast("string").alias("text"), "owners", "low")
     grouped = docs.withColumn("grp", F.coalesce(F.pmod("ident", F.lit(groups)), F.lit(0)).cast("int"))
     texts = grouped.select("grp", F.lit(1).alias("kind"), "ident", "text", none.cast("binary").alias("owners"), none.cast("binary").alias("low"))
     both = blobs.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind")
     schema = "ident bigint, n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept string"
-    return both.mapInArrow(lambda it: _cut(it, width), schema).withColumnRenamed("ident", ident)
+    return both.mapInArrow(lambda it: kernels.tidy(_cut(it, width)), schema).withColumnRenamed("ident", ident)
 
 
 #: DuckDB SQL of the registered query.
