@@ -62,16 +62,24 @@ def components(links: DataFrame, name: str, *, thin: bool = True) -> DataFrame:
     """
     edges = links.mapInArrow(_thin, "a bigint, b bigint") if thin else links
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = scratch(edges, f"{name}-links"), None
-    while True:
-        state = edges.agg(F.count("*"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    edges = scratch(edges, f"{name}-links")
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        # Stored first: both sides of the join are then plain exchanges, and a node of many links can be split.
+        least = scratch(least, f"{name}-least")
         large = both.where("v > u").join(least, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch(large, f"{name}-large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = scratch(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-down")
         moved = large.join(down.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), f"{name}-small")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points at one root, and no root points on."""
+    count, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    if count != nodes:
+        return False
+    roots = edges.select(F.col("v").alias("_v")).distinct()
+    return not edges.join(roots, F.col("u") == F.col("_v"), "left_semi").limit(1).count()

@@ -293,6 +293,22 @@ def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text")
     return out.select(F.col("ident").alias(ident), F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
+def keep_one(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the document of the smallest identifier stays.
+
+    Columns stay as they are. Repeated rows (same identifier and text) become one; documents without an
+    identifier, which no link can name, all stay.
+    """
+    found = scratch(near_duplicates(df, ident=ident, text=text), "jaccard-kept")
+    first = found.where(F.col(ident) == F.col("component_id")).groupBy(F.col(ident).alias("_first")).agg(F.count("*").alias("rows"))
+    first = scratch(first, "jaccard-first")
+    key = F.col(ident).cast("bigint")
+    out = df.join(first.select("_first"), key == F.col("_first"), "left_semi")
+    if first.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates([ident, text])
+    return out.unionByName(df.where(F.col(ident).isNull()))
+
+
 def _wide_links(docs: DataFrame, members: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
     """Links between the tiles of groups that fill more than one."""
     big = broadcast_if_small(wide).withColumnRenamed("root", "_w")

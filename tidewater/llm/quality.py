@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from tidewater.llm.common import WORD, broadcast_if_small, fresh, scratch, words_of
 
 #: Measure -> least fence in per mille. A fence adapts upwards from here, so a clean group is not trimmed.
-MEASURES = {"symbols": 150, "dup_lines": 300, "repeats": 300, "word_chars": 15_000}
+MEASURES = {"symbols": 150, "dup_lines": 500, "repeats": 300, "word_chars": 15_000}
 
 #: Fence = upper quartile + REACH interquartile ranges. Groups under LEAST_ROWS use a merged sketch.
 REACH, LEAST_ROWS = 6, 50
@@ -60,7 +60,11 @@ def measures(df: DataFrame, *, text: str = "text") -> DataFrame:
     out = out.withColumn(found, F.sort_array(F.transform(again, lambda x: x["i"]))).drop(grams)
     p = F.col(found)
     covered = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
-    return out.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop(found)
+    out = out.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop(found)
+    # Through a generator, so that no filter on a measure is pushed below and works all of them out again.
+    made = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]
+    return out.select(*kept, F.inline(F.array(F.struct(*made))))
 
 
 def base_failed() -> Column:
@@ -166,7 +170,7 @@ WITH d AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM l LEFT JOIN r ON l.doc_id = r.doc_id
 ), v AS (
-  SELECT doc_id, lang, source, n_words, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS measure, unnest([150, 300, 300, 15000]) AS least,
+  SELECT doc_id, lang, source, n_words, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS measure, unnest([150, 500, 300, 15000]) AS least,
     unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)])::BIGINT AS x
   FROM m
 ), b AS (
