@@ -22,7 +22,8 @@ from tidewater.core.errors import ConfigurationError, NotFittedError, SchemaErro
 from tidewater.models.gram import gram, ridge
 from tidewater.models.registry import Regressor, make_regressor
 
-#: Season -> (period in days, Fourier order, days of history from which "auto" switches it on).
+#: Season -> (period in days, Fourier order, days of history from which "auto" switches it on, if rows are closer
+#: together than the period).
 SEASONS = {"yearly": (365.25, 10, 730), "weekly": (7.0, 3, 14), "daily": (1.0, 4, 2)}
 FORECAST, COMPONENTS = ("yhat", "yhat_lower", "yhat_upper"), ("trend", "weekly", "yearly", "daily")
 
@@ -75,9 +76,9 @@ class ProphetForecaster:
         self.first_, self.last_, self.span_, self.scale_ = first, last, max(last - first, 1.0), high or 1.0
         days = (last - first) / 86400
         self.orders_ = {}
-        for name, (_, order, history) in SEASONS.items():
-            asked = self.seasonality[name]
-            order = (order if days >= history else 0) if asked == "auto" else order if asked is True else int(asked or 0)
+        for name, (period, order, history) in SEASONS.items():
+            asked, seen = self.seasonality[name], days >= history and days / max(n - 1, 1) < period
+            order = (order if seen else 0) if asked == "auto" else order if asked is True else int(asked or 0)
             if order:
                 self.orders_[name] = order
         bends = min(self.n_changepoints, max(n - 2, 0)) if self.growth == "linear" else 0

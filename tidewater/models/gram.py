@@ -39,6 +39,45 @@ def gram(df: DataFrame) -> np.ndarray:
     return sum_of(df, (m, m), of)
 
 
+#: Columns up to which the sums are one JVM aggregate; beyond, one array per partition is summed in Arrow batches.
+JVM_COLUMNS = 30
+
+
+def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means, and centred cross products of the table's columns. The means are taken off first, so
+    large values do not cancel."""
+    names = df.columns
+    first = df.agg(F.count("*"), *[F.avg(F.col(f"`{c}`")) for c in names]).first()
+    n, m = first[0], len(names)
+    if not n:
+        return 0, np.zeros(m), np.zeros((m, m))
+    means = np.array(first[1:], float)
+    x = [F.col(f"`{c}`") - F.lit(float(a)) for c, a in zip(names, means)]
+    if m > JVM_COLUMNS:
+        return n, means, gram(df.select(*[v.alias(c) for v, c in zip(x, names)]))[1:, 1:]
+    cells = [(i, j) for i in range(m) for j in range(i + 1)]
+    out = np.zeros((m, m))
+    for (i, j), v in zip(cells, df.agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in cells]).first()):
+        out[i, j] = out[j, i] = v
+    return n, means, out
+
+
+def elastic_net(s: np.ndarray, y: np.ndarray, n: int, alpha: float, share: float, rounds: int, tol: float) -> np.ndarray:
+    """Coordinate descent on centred cross products: 1/(2n) squares + alpha share |w| + alpha (1 - share)/2 w^2."""
+    w = np.zeros(len(y))
+    for _ in range(rounds):
+        most = 0.0
+        for k in range(len(w)):
+            if s[k, k] <= 0:
+                continue
+            pull = (y[k] - s[k] @ w + s[k, k] * w[k]) / n
+            new = np.sign(pull) * max(abs(pull) - alpha * share, 0.0) / (s[k, k] / n + alpha * (1 - share))
+            most, w[k] = max(most, abs(new - w[k])), new
+        if most < tol:
+            break
+    return w
+
+
 def centred(g: np.ndarray, x: list[int], y: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:
     """From Z'Z: centred X'X, X'y, y'y for columns ``x`` and ``y``, their means, and the number of rows."""
     n = g[0, 0]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.core.columns import number, require_numeric, resolve
-from tidewater.core.errors import ConfigurationError, NotFittedError
+from tidewater.core.errors import ConfigurationError, NotFittedError, SchemaError
 from tidewater.sources.tables import require
 
 
@@ -54,30 +54,31 @@ class Regressor(ABC):
 
 
 class Linear(Regressor):
-    """Linear regression by normal equations with optional penalties; predicts by a plain expression.
+    """Linear regression from cross products (one aggregate), with optional penalties; predicts by a plain expression.
 
-    ``alpha`` penalises the sum of squared errors (ridge) or half their mean (lasso, elastic net), unscaled.
+    Without ``l1_ratio``, ``alpha`` weighs the squared coefficients against the sum of squared errors (ridge); with
+    it, against half their mean (lasso, elastic net).
     """
 
-    def __init__(self, *, alpha: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 1000, tol: float = 1e-9):
+    def __init__(self, *, alpha: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 10_000, tol: float = 1e-9):
+        if alpha < 0 or not 0 <= l1_ratio <= 1:
+            raise ConfigurationError(f"alpha is not negative and l1_ratio in [0, 1]; got {alpha} and {l1_ratio}")
         super().__init__(alpha=alpha, l1_ratio=l1_ratio, max_iter=max_iter, tol=tol)
 
     def learn(self, rows: DataFrame) -> None:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import LinearRegression
+        from tidewater.models.gram import elastic_net, moments
 
         p = self.params
-        penalty = p["alpha"]
-        if penalty and not p["l1_ratio"]:
-            penalty /= max(rows.count(), 1)
-        data = VectorAssembler(inputCols=self.features_, outputCol="__x").transform(rows)
-        by = "l-bfgs" if p["l1_ratio"] and p["alpha"] else "normal"
-        model = LinearRegression(
-            featuresCol="__x", labelCol="__y", regParam=penalty, elasticNetParam=p["l1_ratio"], standardization=False,
-            maxIter=p["max_iter"], tol=p["tol"], solver=by,
-        ).fit(data)
-        self.coefficients_ = dict(zip(self.features_, map(float, model.coefficients)))
-        self.intercept_ = float(model.intercept)
+        n, means, s = moments(rows)
+        if not n:
+            raise SchemaError("there are no complete rows to learn from")
+        xx, xy = s[:-1, :-1], s[:-1, -1]
+        if p["alpha"] and p["l1_ratio"]:
+            w = elastic_net(xx, xy, n, p["alpha"], p["l1_ratio"], p["max_iter"], p["tol"])
+        else:
+            w = np.linalg.lstsq(xx + p["alpha"] * np.eye(len(xx)), xy, rcond=None)[0]
+        self.coefficients_ = dict(zip(self.features_, map(float, w)))
+        self.intercept_ = float(means[-1] - means[:-1] @ w)
 
     def apply(self, df: DataFrame, name: str) -> DataFrame:
         out = F.lit(self.intercept_)

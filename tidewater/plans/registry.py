@@ -93,10 +93,15 @@ def drop_missing(spark, d):
     return rounded(MissingValueHandler(list(TYPES), "drop").fit_transform(gappy_panel(spark, d)))
 
 
-@query(f"SELECT hour, {r('coalesce(click, -1.0)')} AS click, {rs(['purchase', 'signup', 'view'])}, (click IS NULL)::BIGINT AS click__missing, (error IS NULL)::BIGINT AS error__missing FROM ({GAPPY_PANEL_SQL})")
+_SPARSE = "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS a, CASE WHEN event_id % 3 = 0 THEN value END AS b FROM events"
+
+
+@query(f"SELECT event_id, {r('coalesce(a, -1.0)')} AS a, (a IS NULL)::BIGINT AS a__missing, (b IS NULL)::BIGINT AS b__missing FROM ({_SPARSE})")
 def drop_sparse_columns(spark, d):
-    step = MissingValueHandler(["click", "error"], "constant", fill_value=-1.0, column_missing_threshold=0.5, add_indicator=True)
-    return rounded(step.fit_transform(gappy_panel(spark, d)))
+    step = MissingValueHandler(["a", "b"], "constant", fill_value=-1.0, column_missing_threshold=0.5, add_indicator=True)
+    value, k = F.col("value"), F.col("event_id")
+    df = table(spark, d, "events").select("event_id", F.when(k % 5 != 0, value).alias("a"), F.when(k % 3 == 0, value).alias("b"))
+    return rounded(step.fit_transform(df))
 
 
 for _name, _how, _of in (("fill_mean", "mean", "avg({c})"), ("fill_median", "median", "quantile_cont({c}, 0.5)")):

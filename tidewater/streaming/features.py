@@ -42,6 +42,8 @@ def transform_stream(stream: DataFrame, steps: Step | Pipeline) -> DataFrame:
 def windowed_means(stream: DataFrame, time: str, values: Sequence[str], *, keys: Sequence[str] = (), width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and means per series and event-time window; rows later than ``late`` are left out."""
     t = F.window(time, width, slide) if slide else F.window(time, width)
+    if stream.schema[time].dataType.typeName() == "timestamp_ntz":  # a watermark needs an instant
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     made = stream.withWatermark(time, late).groupBy(t, *keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"{v}_mean") for v in values])
     return made.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n", *[f"{v}_mean" for v in values])
 
