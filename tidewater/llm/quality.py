@@ -123,7 +123,7 @@ def judge(measured: DataFrame, limits: DataFrame, *, lang: str = "lang", source:
     out = measured.join(small, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     over = F.lit(False)
     for m, v in per_mille().items():
-        over = over | F.coalesce(v > F.col(f"max_{m}"), F.lit(False))
+        over = over | F.coalesce(bucket(v) > F.col(f"max_{m}"), F.lit(False))  # a fence is a bucket, too
     out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
     return out.drop("_lang", "_source", *[f"max_{m}" for m in MEASURES])
 
@@ -173,8 +173,10 @@ WITH d AS (
   SELECT doc_id, lang, source, n_words, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS measure, unnest([150, 500, 300, 15000]) AS least,
     unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)])::BIGINT AS x
   FROM m
+), u AS (
+  SELECT *, CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::BIGINT) << (length(bin(x)) - 6)::BIGINT END AS bucket FROM v
 ), b AS (
-  SELECT *, CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::BIGINT) << (length(bin(x)) - 6)::BIGINT END AS bucket FROM v WHERE n_words > 0
+  SELECT * FROM u WHERE n_words > 0
 ), own AS (
   SELECT lang, source, measure, any_value(least) AS least, count(*) AS docs, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
 ), wide AS (
@@ -188,7 +190,7 @@ WITH d AS (
          ELSE greatest(least, every.q3 + 6 * (every.q3 - every.q1)) END AS fence
   FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.measure = wide.measure JOIN every ON own.measure = every.measure
 ), o AS (
-  SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.measure = f.measure WHERE x > fence
+  SELECT DISTINCT u.doc_id FROM u JOIN f ON u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source AND u.measure = f.measure WHERE bucket > fence
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
