@@ -20,26 +20,40 @@ def expected_depth(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(safe - 1) + EULER) - 2 * (n - 1) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple]:
-    """Nodes (feature or -1, threshold, left, right, depth + expected rest) of one tree; node 0 is the root."""
-    nodes: list[tuple] = []
+def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree as a full binary tree of ``depth`` levels: feature and threshold of inner nodes (children of k are 2k + 1
+    and 2k + 2), and the path length that each last-level node stands for. Below a leaf every row goes left."""
+    inner = 2**depth - 1
+    feature, threshold, length = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
 
-    def add(rows: np.ndarray, at: int) -> int:
-        here = len(nodes)
-        nodes.append(None)
+    def add(rows: np.ndarray, node: int, at: int) -> None:
         span = rows.max(0) - rows.min(0) if len(rows) else np.zeros(x.shape[1])
         if at >= depth or len(rows) <= 1 or not span.any():
-            nodes[here] = (-1, 0.0, -1, -1, at + float(expected_depth(len(rows))))
-            return here
+            first = node
+            for _ in range(depth - at):
+                first = 2 * first + 1
+            length[first - inner] = at + float(expected_depth(len(rows)))
+            return
         f = int(rng.choice(np.flatnonzero(span)))
         cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
         low = rows[:, f] < cut
-        left, right = add(rows[low], at + 1), add(rows[~low], at + 1)
-        nodes[here] = (f, cut, left, right, 0.0)
-        return here
+        feature[node], threshold[node] = f, cut
+        add(rows[low], 2 * node + 1, at + 1)
+        add(rows[~low], 2 * node + 2, at + 1)
 
-    add(x, 0)
-    return nodes
+    add(x, 0, 0)
+    return feature, threshold, length
+
+
+def path_lengths(x: np.ndarray, forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """Sum over the trees of each row's path length."""
+    cells, rows, total = np.ascontiguousarray(x.T).ravel(), np.arange(len(x)), np.zeros(len(x))
+    for feature, threshold, length in forest:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            at = 2 * at + 1 + (cells[feature[at] * len(x) + rows] >= threshold[at])
+        total += length[at - len(feature)]
+    return total
 
 
 class IsolationForest:
@@ -65,7 +79,8 @@ class IsolationForest:
         rng = np.random.default_rng(self.seed)
         size = min(self.sample, len(pool))
         depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
-        self.forest_ = [np.array(grow(pool[rng.choice(len(pool), size, replace=False)], rng, depth)) for _ in range(self.trees)]
+        self.depth_ = depth
+        self.forest_ = [grow(pool[rng.choice(len(pool), size, replace=False)], rng, depth) for _ in range(self.trees)]
         self.norm_ = float(expected_depth(size)) or 1.0
         self.limit_ = 0.5
         if self.contamination != "auto":
@@ -75,20 +90,13 @@ class IsolationForest:
 
     def score(self, df: DataFrame) -> Column:
         """Anomaly score in (0, 1]; NULL for rows with a missing cell."""
-        forest, norm = self.forest_, self.norm_
+        forest, norm, depth = self.forest_, self.norm_, self.depth_
 
         @F.pandas_udf("double")
         def scored(cells: pd.Series) -> pd.Series:
             x = np.array(cells.tolist(), np.float64).reshape(len(cells), -1)
-            known = ~np.isnan(x).any(1) if len(x) else np.zeros(0, bool)
-            rows, total = np.where(np.isnan(x), 0.0, x), np.zeros(len(x))
-            for tree in forest:
-                at = np.zeros(len(rows), np.int64)
-                while (inner := tree[at, 0] >= 0).any():
-                    here = at[inner]
-                    low = rows[inner, tree[here, 0].astype(np.int64)] < tree[here, 1]
-                    at[inner] = np.where(low, tree[here, 2], tree[here, 3]).astype(np.int64)
-                total += tree[at, 4]
+            known = ~np.isnan(x).any(1)
+            total = path_lengths(np.where(np.isnan(x), 0.0, x), forest, depth)
             return pd.Series(np.where(known, 2.0 ** (-total / len(forest) / norm), np.nan))
 
         made = scored(F.array(*[number(df, c) for c in self.columns]))

@@ -98,12 +98,19 @@ def seasonality(df: DataFrame, time: str, column: str, *, by: str = "hour") -> D
 def boxplots(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: quartiles, and the ends of whiskers within 1.5 interquartile ranges."""
     names = _numeric(df, columns)
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("x")) for c in names]))).where("x is not null")
-    box = long.groupBy("column").agg(*five_numbers(F.col("x")))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = long.join(F.broadcast(box.select(F.col("column").alias("__c"), "q1", "q3")), F.col("column") == F.col("__c")).where(F.col("x").between(F.col("q1") - reach, F.col("q3") + reach))  # one row a column
-    ends = inside.groupBy(F.col("column").alias("__c")).agg(F.min("x").alias("whisker_low"), F.max("x").alias("whisker_high"))
-    return box.join(ends, F.col("column") == F.col("__c")).drop("__c").orderBy("column")
+    cells = df.select(*[number(df, c).alias(f"x{k}") for k, c in enumerate(names)])
+    q = lambda k: F.col(f"q{k}")
+    whole = cells.agg(*[a for k in range(len(names)) for a in (
+        F.percentile(f"x{k}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"), F.min(f"x{k}").alias(f"a{k}"), F.max(f"x{k}").alias(f"z{k}"), F.count(f"x{k}").alias(f"n{k}"),
+    )])
+    reach = lambda k: 1.5 * (q(k)[2] - q(k)[0])
+    inside = lambda k: F.when(F.col(f"x{k}").between(q(k)[0] - reach(k), q(k)[2] + reach(k)), F.col(f"x{k}"))
+    ends = cells.crossJoin(F.broadcast(whole)).agg(*[a for k in range(len(names)) for a in (F.min(inside(k)).alias(f"low{k}"), F.max(inside(k)).alias(f"high{k}"))])  # one row
+    rows = [F.struct(
+        F.lit(c).alias("column"), F.col(f"a{k}").alias("low"), q(k)[0].alias("q1"), q(k)[1].alias("median"), q(k)[2].alias("q3"), F.col(f"z{k}").alias("high"),
+        F.col(f"n{k}").alias("n"), F.col(f"low{k}").alias("whisker_low"), F.col(f"high{k}").alias("whisker_high"),
+    ) for k, c in enumerate(names)]
+    return whole.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*rows))).orderBy("column")
 
 
 def outliers(df: DataFrame, column: str, *, bounds=None, handler=None, time: str | None = None) -> DataFrame:
