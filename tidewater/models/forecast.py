@@ -135,11 +135,17 @@ class ProphetForecaster:
         """Append the forecast columns (and components) for the times of ``df``: plain expressions, no join."""
         if self.weights_ is None:
             raise NotFittedError("the forecaster is not fitted")
+        # Components become columns before they are summed: each is worked out once, not once for every use.
         parts = self._parts(self._time(df, ds))
-        new = {"yhat": parts["yhat"], "yhat_lower": parts["yhat"] + self.reach_[0], "yhat_upper": parts["yhat"] + self.reach_[1]}
+        whole = parts.pop("yhat")
+        whole = whole if self.growth == "logistic" else None
+        own = {n: f"__part_{n}" for n in parts}
+        out = df.withColumns({own[n]: parts[n] for n in own} | ({"__part_yhat": whole} if whole is not None else {}))
+        yhat = F.col("__part_yhat") if whole is not None else sum((F.col(c) for c in own.values()), F.lit(0.0))
+        new = {"yhat": yhat, "yhat_lower": yhat + self.reach_[0], "yhat_upper": yhat + self.reach_[1]}
         if components:
-            new |= {c: parts[c] for c in COMPONENTS if c in parts}
-        return df.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in new.items()})
+            new |= {c: F.col(own[c]) for c in COMPONENTS if c in own}
+        return out.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in new.items()}).drop(*own.values(), "__part_yhat")
 
     def predict(self, periods: int | None = None, freq: str = "h", future: DataFrame | Sequence | None = None) -> DataFrame:
         """For the training times, for those and ``periods`` more of ``freq``, or for ``future`` times."""
@@ -201,7 +207,9 @@ class HybridProphetRegressor(Regressor):
         self.features_ = [f for f in features if f != time]
         self.prophet_ = ProphetFeatures(target, time=time, prophet_kwargs=self.params["prophet_kwargs"], add_components=self.params["add_components"]).fit(df)
         base = self.params["base_estimator"] or make_regressor("random_forest", numTrees=400)
-        self.regressor_ = base.copy().fit(self.prophet_.transform(df), [*self.features_, *self.prophet_.prophet_feature_names_], target)
+        rows = self.prophet_.transform(df).persist()  # a regressor passes over them several times
+        self.regressor_ = base.copy().fit(rows, [*self.features_, *self.prophet_.prophet_feature_names_], target)
+        rows.unpersist()
         return self
 
     def learn(self, rows: DataFrame) -> None:
