@@ -276,14 +276,14 @@ def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text")
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("n > 0").groupBy("node").agg(F.min("ident").alias("ident"), F.min("n").alias("n"))
     members = members.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n").where("ident is not null")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("n", "node")) - 1
-    members = scratch(members.withColumn("rank", rank).withColumns({"block": F.floor(F.col("rank") / TILE).cast("int"), "label": F.col("node")}), "jaccard-members")
+    sizes = _size_places(members)
+    members = scratch(_blocked(members, sizes).withColumn("label", F.col("node")), "jaccard-members")
     blocks = scratch(members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-blocks")
     diagonal = blocks.select("root", "block", F.xxhash64("root", "block").alias("tile"))
     links = link(docs, members, diagonal, "tiles")
     wide = scratch(blocks.groupBy("root").agg(F.max("block").alias("last")).where("last > 0"), "jaccard-wide")
     if wide.limit(1).count():
-        links = links.unionByName(_wide_links(docs, members, blocks, wide, links))
+        links = links.unionByName(_wide_links(docs, members, sizes, blocks, wide, links))
     tree = components(links, "jaccard")
     roots = nodes.join(tree.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = scratch(roots.select("ident", "n", F.coalesce("root", "node").alias("class")), "jaccard-classes")
@@ -309,13 +309,31 @@ def keep_one(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> Dat
     return out.unionByName(df.where(F.col(ident).isNull()))
 
 
-def _wide_links(docs: DataFrame, members: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
+def _size_places(members: DataFrame) -> DataFrame:
+    """``root, n`` with ``count``, nodes ``before`` (smaller ones) and in ``total``: a histogram of each group's set sizes."""
+    counts = scratch(members.groupBy("root", "n").agg(F.count("*").alias("count")), "jaccard-sizes")
+    group = Window.partitionBy("root")  # one row for each size
+    before = F.coalesce(F.sum("count").over(group.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return scratch(counts.withColumns({"before": before, "total": F.sum("count").over(group)}), "jaccard-places")
+
+
+def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Append ``block``: about ``TILE`` nodes of neighbouring sizes each. Nodes of one size are dealt by hash, so no
+    group is ever sorted in one task."""
+    own = sizes.withColumnsRenamed({"root": "_r", "n": "_s"})
+    out = members.join(own, (F.col("root") == F.col("_r")) & (F.col("n") == F.col("_s")))
+    place = F.col("before") + F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("count") / (1 << 20))
+    return out.withColumn("block", F.floor(place / TILE).cast("int")).drop("_r", "_s", "count", "before", "total")
+
+
+def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
     """Links between the tiles of groups that fill more than one."""
     big = broadcast_if_small(wide).withColumnRenamed("root", "_w")
     mine = members.join(big, F.col("root") == F.col("_w")).drop("_w", "last")
-    # Hub: the middle node of each group (by size) meets every tile that its size allows.
-    middle = mine.groupBy("root").agg(F.floor(F.max("rank") / 2).alias("_m")).withColumnRenamed("root", "_w")
-    hub = scratch(mine.join(middle, (F.col("root") == F.col("_w")) & (F.col("rank") == F.col("_m"))).select("root", "node", "ident", "n", "label"), "jaccard-hub")
+    # Hub: a node of each group's middle size meets every tile that its size allows.
+    middle = sizes.where("2 * before <= total and total < 2 * (before + count)").select(F.col("root").alias("_w"), F.col("n").alias("_m"))
+    hub = mine.join(middle, (F.col("root") == F.col("_w")) & (F.col("n") == F.col("_m"))).groupBy("root").agg(F.min(F.struct("node", "ident", "n", "label")).alias("h"))
+    hub = scratch(hub.select("root", "h.*"), "jaccard-hub")
     near = blocks.join(broadcast_if_small(hub.select(F.col("root").alias("_w"), F.col("n").alias("_n"))), F.col("root") == F.col("_w")).where(
         (F.col("low") * NUM <= F.col("_n") * DEN) & (F.col("_n") * NUM <= F.col("high") * DEN)
     )
