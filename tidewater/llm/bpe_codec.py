@@ -3,7 +3,7 @@
 Two neighbouring bytes that never stand side by side inside any token of the vocabulary mark a certain
 cut: no merge can cross it. Fragments between cuts are encoded independently and concatenated. The
 pre-tokeniser's own boundaries are cuts as well. Fragments are short, so work per text is linear; what
-a chunk becomes is remembered in a bounded table per Python worker.
+a chunk becomes is remembered in a bounded table for the length of a task.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import kernels
 from tidewater.llm.common import fresh
 
 #: Fixed value: the byte-level pre-tokeniser's published pattern.
@@ -28,8 +30,8 @@ _SPLIT = regex.compile(
 #: after a word of letters before white space, full stop or comma, and around a line feed before a word.
 _CHUNKS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s.,])|\n(?=\S)|\s*\S+|\s+")
 
-#: Entries remembered per worker, and the longest chunk that is.
-CACHE_CHUNKS, CACHE_LENGTH = 500_000, 48
+#: Entries remembered in a task, and the longest chunk that is.
+CACHE_CHUNKS, CACHE_LENGTH = 400_000, 48
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -210,13 +212,18 @@ def round_trip(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digests(texts: pa.Array) -> pa.Array:
-        of = codec(path).digest
-        n, a, b = zip(*map(of, texts.to_pylist())) if len(texts) else ((), (), ())
-        return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-            names=["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        try:
+            for texts in batches:
+                n, a, b = zip(*map(own.digest, texts.to_pylist())) if len(texts) else ((), (), ())
+                yield pa.StructArray.from_arrays(
+                    [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+                    names=["n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            own.chunks.clear()
+            kernels.give_back()
 
     got = fresh(df, "codec")
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]

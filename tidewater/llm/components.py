@@ -36,7 +36,7 @@ class Forest:
 THIN_LINKS = 500_000
 
 
-def _thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thinned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the links of a task by a star for each of their components; connectivity stays."""
     forest = Forest()
 
@@ -60,7 +60,7 @@ def components(links: DataFrame, name: str, *, thin: bool = True) -> DataFrame:
     least member. Every step is aggregates and joins over stored tables; a node of many links is summed
     partially before it is shuffled.
     """
-    edges = links.mapInArrow(_thin, "a bigint, b bigint") if thin else links
+    edges = links.mapInArrow(thinned, "a bigint, b bigint") if thin else links
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch(edges, f"{name}-links")
     while not _stars(edges):

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tidewater.llm import kernels
 from tidewater.llm.common import broadcast_if_small, prime_below, range_count, scratch
-from tidewater.llm.components import Forest, components
+from tidewater.llm.components import components, thinned
 
 #: Words to a shingle; similarity as a fraction; most nodes to a tile; bits to a bitmap.
 SHINGLE, NUM, DEN, TILE, BITS = 5, 75, 100, 1000, 1024
@@ -240,17 +240,17 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, root`` of nodes that may have a partner, from texts and their nodes."""
     ranges = 2 * range_count(docs, "text")
     groups = prime_below(ranges)
-    sent = docs.select("text").mapInArrow(lambda it: _prefixes(it, ranges), PACKED_DDL)
-    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _shared(it, groups), PACKED_DDL)
+    sent = docs.select("text").mapInArrow(lambda it: kernels.tidy(_prefixes(it, ranges)), PACKED_DDL)
+    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(_shared(it, groups)), PACKED_DDL)
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     sizes = nodes.where("n > 0").groupBy("node", "n", "inside").agg(F.lit(1)).select(
         F.pmod("node", F.lit(groups)).cast("int").alias("part"), F.concat(number(F.col("node")), number(F.col("n")), number(F.col("inside"))).alias("keys"),
         F.lit(None).cast("binary").alias("values"), F.lit(None).cast("binary").alias("counts"),
     )
     mine = sizes.unionByName(shared).repartition("part").sortWithinPartitions("part")
-    chosen = mine.mapInArrow(lambda it: _chosen(it, ranges), PACKED_DDL)
-    links = chosen.repartition("part").sortWithinPartitions("part").mapInArrow(_candidates, "a bigint, b bigint")
-    return components(links, "jaccard-candidates")
+    chosen = mine.mapInArrow(lambda it: kernels.tidy(_chosen(it, ranges)), PACKED_DDL)
+    links = chosen.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(thinned(_candidates(it))), "a bigint, b bigint")
+    return components(links, "jaccard-candidates", thin=False)
 
 
 def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, name: str) -> DataFrame:
@@ -258,7 +258,7 @@ def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, name: str) -> Da
     placed = members.join(tiles.withColumnsRenamed({"root": "_r", "block": "_b"}), (F.col("root") == F.col("_r")) & (F.col("block") == F.col("_b")))
     wanted = placed.select(F.col("ident").alias("_i"), "tile", "node", "label")
     rows = docs.join(wanted, F.col("ident") == F.col("_i")).select("tile", "node", "label", "text")
-    return scratch(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified, "a bigint, b bigint"), f"jaccard-{name}")
+    return scratch(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: kernels.tidy(_verified(it)), "a bigint, b bigint"), f"jaccard-{name}")
 
 
 def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,7 +271,7 @@ def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text")
     are equal sets. An empty table gives an empty result.
     """
     docs = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(text).alias("text"))
-    nodes = scratch(docs.mapInArrow(_nodes, "ident bigint, n bigint, node bigint, inside bigint"), "jaccard-nodes")
+    nodes = scratch(docs.mapInArrow(lambda it: kernels.tidy(_nodes(it)), "ident bigint, n bigint, node bigint, inside bigint"), "jaccard-nodes")
     groups = candidate_groups(docs, nodes)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     first = nodes.where("n > 0").groupBy("node").agg(F.min("ident").alias("ident"), F.min("n").alias("n"))

@@ -27,13 +27,18 @@ MAPPED = 1 << 20
 _system_memory("mallopt", -3, MAPPED)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers after their tasks."""
+    pa.default_memory_pool().release_unused()
+    _system_memory("malloc_trim", 0)
+
+
 def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass batches on; at the end give freed memory back: Spark keeps its Python workers."""
+    """Pass batches on and give memory back at the end."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        _system_memory("malloc_trim", 0)
+        give_back()
 
 
 _U = np.uint64

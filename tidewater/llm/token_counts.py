@@ -5,22 +5,25 @@ The count is the number of initial symbols less the number of merges, so no iden
 
 Texts are cut before runs of the space symbol and around line feeds, which no piece of the model may
 hold inside (checked when the model is read); counts of the resulting chunks add up exactly and are
-remembered in a bounded table per Python worker.
+remembered in a bounded table for the length of a task.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import kernels
+
 SPACE = "▁"
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 
-#: Chunks remembered per worker, and the longest one that is.
+#: Chunks remembered in a task, and the longest one that is.
 CACHE_CHUNKS, CACHE_LENGTH = 600_000, 48
 
 
@@ -97,9 +100,14 @@ def token_count(text: Column, model_path: str) -> Column:
     """Column of token counts for a text column; null and empty texts have 0 tokens."""
 
     @F.arrow_udf("bigint")
-    def tokens(texts: pa.Array) -> pa.Array:
-        count = counter(model_path).count
-        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = counter(model_path)
+        try:
+            for texts in batches:
+                yield pa.array([model.count(t) for t in texts.to_pylist()], pa.int64())
+        finally:
+            model.seen.clear()
+            kernels.give_back()
 
     return tokens(text)
 

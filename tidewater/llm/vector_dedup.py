@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import kernels
 from tidewater.llm.common import scratch
 from tidewater.llm.components import components
 
@@ -127,9 +128,9 @@ def near_duplicates(
     mine = classes.withColumnsRenamed({"h1": "_1", "h2": "_2"})
     heads = rows.where("ok").join(mine, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & (F.col("ident") == F.col("node")))
     heads = scratch(heads.groupBy("node", "h1", "h2").agg(F.first("vector").alias("vector")).select("node", F.size("vector").alias("dim"), "vector"), "vectors-heads")
-    keyed = heads.mapInArrow(lambda it: _keys(it, passes, bits, seed), KEYED)
+    keyed = heads.mapInArrow(lambda it: kernels.tidy(_keys(it, passes, bits, seed)), KEYED)
     ordered = keyed.repartitionByRange("pass", "dim", "hash", "node").sortWithinPartitions("pass", "dim", "hash", "node")
-    pairs = scratch(ordered.mapInArrow(lambda it: _pairs(it, least, window), "a bigint, b bigint").where("a <> b").distinct(), "vectors-pairs")
+    pairs = scratch(ordered.mapInArrow(lambda it: kernels.tidy(_pairs(it, least, window)), "a bigint, b bigint").where("a <> b").distinct(), "vectors-pairs")
     tree = components(pairs, "vectors")
     sizes = classes.groupBy("node").agg(F.sum("copies").alias("copies"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
