@@ -26,9 +26,12 @@ from tidewater.llm import kernels
 from tidewater.llm.common import broadcast_if_small, prime_below, range_count, scratch
 from tidewater.llm.components import components, thinned
 
-#: Words to a shingle; similarity as a fraction; most nodes to a tile; bits to a bitmap.
+#: Words to a shingle; similarity as a fraction; nodes to a tile; bits to a bitmap.
 SHINGLE, NUM, DEN, TILE, BITS = 5, 75, 100, 1000, 1024
 
+#: Shingles that count as one node of a tile: a tile of long texts holds fewer of them.
+NODE_SHINGLES = 1000
+
 #: Share of hash space whose shingles are counted: the prefix share and some room.
 REGION = np.uint64(int((1 - NUM / DEN + 0.06) * 2**64))
 
@@ -310,20 +313,22 @@ def keep_one(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> Dat
 
 
 def _size_places(members: DataFrame) -> DataFrame:
-    """``root, n`` with ``count``, nodes ``before`` (smaller ones) and in ``total``: a histogram of each group's set sizes."""
-    counts = scratch(members.groupBy("root", "n").agg(F.count("*").alias("count")), "jaccard-sizes")
+    """``root, n`` with ``weight``, the weight ``before`` (of smaller sets) and in ``total``: a histogram of each group's
+    set sizes. A node weighs 1, or its set's size by ``NODE_SHINGLES`` if that is more."""
+    weight = F.count("*") * F.greatest(F.col("n") / NODE_SHINGLES, F.lit(1.0))
+    counts = scratch(members.groupBy("root", "n").agg(weight.alias("weight")), "jaccard-sizes")
     group = Window.partitionBy("root")  # one row for each size
-    before = F.coalesce(F.sum("count").over(group.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return scratch(counts.withColumns({"before": before, "total": F.sum("count").over(group)}), "jaccard-places")
+    before = F.coalesce(F.sum("weight").over(group.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return scratch(counts.withColumns({"before": before, "total": F.sum("weight").over(group)}), "jaccard-places")
 
 
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Append ``block``: about ``TILE`` nodes of neighbouring sizes each. Nodes of one size are dealt by hash, so no
-    group is ever sorted in one task."""
+    """Append ``block``: nodes of neighbouring sizes, about ``TILE`` by weight. Nodes of one size are dealt by hash, so
+    no group is ever sorted in one task."""
     own = sizes.withColumnsRenamed({"root": "_r", "n": "_s"})
     out = members.join(own, (F.col("root") == F.col("_r")) & (F.col("n") == F.col("_s")))
-    place = F.col("before") + F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("count") / (1 << 20))
-    return out.withColumn("block", F.floor(place / TILE).cast("int")).drop("_r", "_s", "count", "before", "total")
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("weight") / float(1 << 20)
+    return out.withColumn("block", F.floor(place / TILE).cast("int")).drop("_r", "_s", "weight", "before", "total")
 
 
 def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
@@ -331,7 +336,7 @@ def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: D
     big = broadcast_if_small(wide).withColumnRenamed("root", "_w")
     mine = members.join(big, F.col("root") == F.col("_w")).drop("_w", "last")
     # Hub: a node of each group's middle size meets every tile that its size allows.
-    middle = sizes.where("2 * before <= total and total < 2 * (before + count)").select(F.col("root").alias("_w"), F.col("n").alias("_m"))
+    middle = sizes.where("2 * before <= total and total < 2 * (before + weight)").select(F.col("root").alias("_w"), F.col("n").alias("_m"))
     hub = mine.join(middle, (F.col("root") == F.col("_w")) & (F.col("n") == F.col("_m"))).groupBy("root").agg(F.min(F.struct("node", "ident", "n", "label")).alias("h"))
     hub = scratch(hub.select("root", "h.*"), "jaccard-hub")
     near = blocks.join(broadcast_if_small(hub.select(F.col("root").alias("_w"), F.col("n").alias("_n"))), F.col("root") == F.col("_w")).where(
