@@ -392,7 +392,7 @@ LEFT = ["4349000490986232", "2023-02-31", "300.1.1.1", "666-12-1234", "1.5", "ve
 
 def test_pseudonyms(spark, docs, empty):
     text = " and ".join([*VALUES, *LEFT]) + "."
-    rows = [(1, text), (2, f"again {VALUES[0]}, password=36fdea71d793cf922e token = \"0641917ea4e9\""), (3, None), (4, ""), (5, "nothing here")]
+    rows = [(1, text), (2, f"again {VALUES[0]}, password=36fdea71d793cf922e token = \"0641917ea4e9\" TOKEN = \"AB41917EA4E9\""), (3, None), (4, ""), (5, "nothing here")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_found", F.lit("x"))
     got = {r.doc_id: r for r in pii.pseudonymise(df, key="k").collect()}
     out = got[1].text[:-1].split(" and ")
@@ -406,7 +406,7 @@ def test_pseudonyms(spark, docs, empty):
     from datetime import datetime
     for k, f in ((7, "%Y-%m-%d"), (8, "%d/%m/%Y"), (9, "%m/%d/%Y"), (10, "%d.%m.%Y")):
         assert 1900 <= datetime.strptime(out[k], f).year < 2100
-    assert out[0] in got[2].text and "36fdea71d793cf922e" not in got[2].text and "0641917ea4e9" not in got[2].text and 'token = "' in got[2].text
+    assert out[0] in got[2].text and "36fdea71d793cf922e" not in got[2].text and "0641917ea4e9" not in got[2].text and "AB41917EA4E9" not in got[2].text and 'token = "' in got[2].text
     assert got[3].text is None and (got[3].n_found, got[3].n_replaced) == (0, 0) and got[4].text == "" and got[5].text == "nothing here"
     other = {r.doc_id: r.text for r in pii.pseudonymise(df, key="other").collect()}
     assert other[1] != got[1].text

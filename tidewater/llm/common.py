@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ RANGE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session without one gets its own."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'tidewater')}"
         sc.setCheckpointDir(where)
     return where.rstrip("/")

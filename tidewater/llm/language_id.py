@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels
+from tidewater.llm.common import fresh
 
 #: Hash buckets of n-grams (a power of two), bytes to an n-gram, labelled documents to learn from at most.
 BUCKETS, GRAM, SAMPLE = 1 << 15, 3, 20_000
@@ -162,8 +163,9 @@ def predict(df: DataFrame, model: Languages, *, text: str = "text") -> DataFrame
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     plain = df.drop("lang_pred", "score", "languages") if text not in ("lang_pred", "score", "languages") else df
-    out = plain.withColumn("_told", told(F.col(text), lettered))
-    return out.withColumns({c: F.col(f"_told.{c}") for c in ("lang_pred", "score", "languages")}).drop("_told")
+    made = fresh(plain, "told")
+    out = plain.withColumn(made, told(F.col(text), lettered))
+    return out.withColumns({c: F.col(f"{made}.{c}") for c in ("lang_pred", "score", "languages")}).drop(made)
 
 
 def held_out(ident: Column) -> Column:

@@ -21,7 +21,7 @@ ROUNDS = 10
 #: What each kind looks like. Order matters: the first that matches wins.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))[A-Za-z0-9_+/-]{8,200}",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))[A-Za-z0-9_+/-]{8,200}",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -31,7 +31,7 @@ KINDS = {
 PATTERN = "|".join(KINDS.values())
 
 #: A text without any of these has nothing to find.
-HINT = r"[0-9@]|AKIA|password|passwd|secret|token|api_key"
+HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"
 
 #: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
