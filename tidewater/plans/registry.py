@@ -22,6 +22,7 @@ from tidewater.plans import plots
 from tidewater.plans.panel import (
     BLOCKS, EVENTS, GAPPY_EVENTS_SQL, GAPPY_PANEL_SQL, PANEL, PANEL_SQL, TYPES, USERS, gappy_events, gappy_panel, hourly_panel, table,
 )
+from tidewater.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -674,7 +675,7 @@ def iterative_impute(spark, d):
 @query()
 def isolation_flag(spark, d):
     step = OutlierHandler(["l_quantity", "l_extendedprice", "l_discount"], "isolation_forest", "flag", contamination=0.05)
-    return step.fit_transform(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"))
+    return step.fit_transform(spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")))
 
 
 @query()
@@ -689,7 +690,7 @@ def nmf_factors(spark, d):
 def forest_predict(spark, d):
     from tidewater.models.registry import make_regressor
 
-    df = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    df = spread(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"))
     return make_regressor("random_forest", numTrees=20).fit(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").predict(df)
 
 

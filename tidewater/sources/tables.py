@@ -92,6 +92,15 @@ def load_table(
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan whose files give fewer splits than there are cores, dealt out to all of them.
+
+    For small tables ahead of work that costs more than moving them; a larger table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_time(df: DataFrame, name: str) -> DataFrame:
     """Parse a time column in place; what cannot be parsed is NULL, and a number is no time."""
     if name not in df.columns:
