@@ -14,25 +14,35 @@ from tidewater.core.columns import value
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError
 
 
+#: Rows to a block of a series without keys, unless the axis says otherwise.
+BLOCK_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Axis:
     """Order of rows: ``time`` within each series (``keys``), ties broken by ``tie``.
 
-    Without keys there is one series. One window over it is one task; ``block_rows`` splits it instead into
-    blocks of that many rows, which carry copies of their neighbours' border rows and run in parallel.
+    Without keys there is one series, and one window over it would be one task. It is split into blocks of
+    ``block_rows`` rows (0: ``BLOCK_ROWS``) instead, which carry copies of their neighbours' border rows and run in
+    parallel; None asks for the one window, which is less work where the series is known to be short.
     """
 
     time: str
     keys: tuple[str, ...] = ()
     tie: str | None = None
-    block_rows: int | None = None
+    block_rows: int | None = 0
+
+    @property
+    def blocks(self) -> int | None:
+        """Rows to a block, or None for plain windows."""
+        return None if self.keys or self.block_rows is None else self.block_rows or BLOCK_ROWS
 
     def check(self, df: DataFrame) -> Axis:
         missing = [c for c in (self.time, *self.keys, *([self.tie] if self.tie else [])) if c not in df.columns]
         if missing:
             raise ColumnNotFoundError(f"axis columns not found: {missing}; available: {df.columns}")
-        if self.block_rows is not None and (self.block_rows < 1 or self.keys):
-            raise ConfigurationError("block_rows is a positive number of rows for an axis without keys")
+        if self.block_rows and (self.block_rows < 0 or self.keys):
+            raise ConfigurationError("block_rows is a number of rows for an axis without keys")
         return self
 
     def order(self) -> list[Column]:
@@ -53,11 +63,11 @@ ROW, BLOCK = "__row", "__block"
 def numbered(df: DataFrame, axis: Axis) -> DataFrame:
     """Append ``__row``: the position from 0 within each series.
 
-    With ``block_rows`` the position is found without one global window: rows are range-partitioned and
-    sorted once, and each partition's offset is the number of rows before it.
+    With blocks the position is found without one global window: rows are range-partitioned and sorted once, and each
+    partition's offset is the number of rows before it. The sorted rows stay cached (``spark.catalog.clearCache()``).
     """
     axis.check(df)
-    if axis.block_rows is None:
+    if axis.blocks is None:
         return df.withColumn(ROW, (F.row_number().over(axis.window()) - 1).cast("bigint"))
     ordered = df.repartitionByRange(*axis.order()).sortWithinPartitions(*axis.order())
     ordered = ordered.withColumn("__at", F.monotonically_increasing_id()).persist()  # ranges are sampled: fix them
@@ -81,9 +91,9 @@ def over_rows(
     rows are copied from the neighbours and dropped again.
     """
     axis.check(df)
-    if axis.block_rows is None:
+    if axis.blocks is None:
         return df.withColumns(build(axis.window()))
-    size = axis.block_rows
+    size = axis.blocks
     reach = lambda n: range(1, -(-n // size) + 1)  # noqa: E731  blocks that n rows span
     rows = numbered(df, axis).withColumn(BLOCK, F.floor(F.col(ROW) / size))
     place = F.col(ROW) - F.col(BLOCK) * size
@@ -108,14 +118,14 @@ def known_neighbours(df: DataFrame, axis: Axis, columns: list[str]) -> DataFrame
     else:
         t = F.col(ROW)
     known = {c: F.when(value(df, c).isNotNull(), F.struct(t.alias("t"), value(df, c).alias("v"), F.col(ROW).alias("row"))) for c in columns}
-    if axis.block_rows is None:
+    if axis.blocks is None:
         w = Window.partitionBy(*axis.keys).orderBy(ROW)
         to, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
         return rows.withColumns(
             {f"__prev_{c}": F.last(k, ignorenulls=True).over(to) for c, k in known.items()}
             | {f"__next_{c}": F.first(k, ignorenulls=True).over(since) for c, k in known.items()}
         )
-    rows = rows.withColumn(BLOCK, F.floor(F.col(ROW) / axis.block_rows))
+    rows = rows.withColumn(BLOCK, F.floor(F.col(ROW) / axis.blocks))
     ends = rows.groupBy(BLOCK).agg(
         *[F.max_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c, k in known.items()],
         *[F.min_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__first_{c}") for c, k in known.items()],

@@ -12,7 +12,7 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 #: Every seventh value and the first five of each fifty are missing.
 GAP = "event_id % 7 = 0 OR event_id % 50 < 5"
 
-PANEL = Axis("hour")
+PANEL = Axis("hour", block_rows=None)  # a row an hour: short whatever the events
 EVENTS = Axis("ts", tie="event_id")
 USERS = Axis("ts", keys=("user_id",), tie="event_id")
 BLOCKS = Axis("ts", tie="event_id", block_rows=1500)
