@@ -93,7 +93,9 @@ def test_windows_are_equal_only_for_equal_words():
 
 
 @pytest.mark.parametrize("thin", [True, False])
-def test_components(spark, thin):
+@pytest.mark.parametrize("alone", [0, 10**6])
+def test_components(spark, thin, alone, monkeypatch):
+    monkeypatch.setattr(components, "ALONE_LINKS", alone)
     rng = np.random.default_rng(1)
     chain = [(k, k + 1) for k in range(1000, 1060)]
     links = chain + [tuple(map(int, p)) for p in rng.integers(-60, 60, (70, 2))] + [(5000, k) for k in range(5001, 5200)]

@@ -32,8 +32,8 @@ class Forest:
         return a != b
 
 
-#: Links a task holds at a time while it thins them out.
-THIN_LINKS = 500_000
+#: Links a task holds at a time while it thins them out, and links (counted) that one task may finish alone.
+THIN_LINKS, ALONE_LINKS = 500_000, 100_000
 
 
 def thinned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,13 +56,15 @@ def thinned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, name: str, *, thin: bool = True) -> DataFrame:
     """``a, b`` links (long, in any order and number) -> ``node, root`` for every node that is not its root.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) until nothing changes; the root is the
-    least member. Every step is aggregates and joins over stored tables; a node of many links is summed
+    At most ``ALONE_LINKS`` different links are joined up in one task. More go through alternating large-star and
+    small-star steps (Kiveris et al. 2014) until all are stars; the root is the least member. Every step is aggregates and joins over stored tables; a node of many links is summed
     partially before it is shuffled.
     """
     edges = links.mapInArrow(thinned, "a bigint, b bigint") if thin else links
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch(edges, f"{name}-links")
+    if edges.limit(ALONE_LINKS + 1).count() <= ALONE_LINKS:
+        return scratch(edges.coalesce(1).mapInArrow(thinned, "a bigint, b bigint").select(F.col("a").alias("node"), F.col("b").alias("root")), f"{name}-alone")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
