@@ -461,6 +461,21 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.25])
+def test_vector_dedup_completes_crowds(spark, noise):
+    """A crowd much larger than passes x window, over several tiles, with copies of one vector in it."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=32)
+    x = np.concatenate((centre + rng.normal(0, noise, (600, 32)), rng.normal(size=(100, 32))))
+    x = np.concatenate((x, np.repeat(x[:1], 5, 0))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = [(i, j) for i, j in combinations(range(len(x)), 2) if unit[i] @ unit[j] >= 0.9]
+    want = brute_links(near, list(range(len(x))))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df, passes=6, window=16, tile=100).collect()}
+    assert got == want
+
+
 # --- 10: Jaccard --------------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,10 @@ hyperplanes), are ordered lexicographically by it, and each is compared with a b
 Pairs that the cosine confirms in double precision are united across passes. Equal vectors are one node, so
 a vector that a third of all rows share is compared once.
 
-Rows are dealt by ranges of (pass, key, id), so no key is too frequent; a pair that a range border or a
-pass parts is met in another pass. Work is passes x window x rows.
+Rows are dealt by ranges of (pass, key, hash of pass and id), so no key is too frequent and vectors of one key
+meet others in every pass; a pair that a range border or a pass parts is met in another pass. Work is passes x
+window x rows. The passes find the components; where they leave pairs of a component uncompared, all its vectors
+are compared in square tiles, which are counted and not stored, so links within a component are exact.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels
-from tidewater.llm.common import scratch
+from tidewater.llm.common import broadcast_if_small, scratch
 from tidewater.llm.components import components
 
 #: Passes, followers each vector is compared with, bits to a key, vectors compared at a time.
 PASSES, WINDOW, KEY_BITS, BLOCK = 32, 64, 48, 256
 
+#: Vectors to a side of a tile (about) where the links of a component are completed.
+TILE = 1024
+
 
 def _planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
     """Hyperplanes of all passes as columns; the same on every executor."""
@@ -99,6 +104,71 @@ def _compare(x: np.ndarray, nodes: np.ndarray, done: int, least: float, window:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
+def _shares(rows: list[pa.RecordBatch], whole: bool, least: float) -> pa.RecordBatch:
+    """Linked copies of each vector of a tile: of all its vectors with each other, or of its sides."""
+    batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    side, nodes, copies = (batch.column(k).to_numpy() for k in (3, 4, 6))
+    x = _matrix(batch.column(7), batch.column(5)[0].as_py())
+    size, copies, out = np.sqrt(np.einsum("ij,ij->i", x, x)), copies.astype(np.float64), np.zeros(len(x))
+    left, right = (np.arange(len(x)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for low in range(0, len(left), BLOCK):
+        rows_of = left[low : low + BLOCK]
+        cosine = (x[rows_of] @ x[right].T) / (size[rows_of, None] * size[None, right])
+        near = cosine >= least + 1e-9
+        i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
+        a, b = rows_of[i], right[j]
+        near[i, j] = np.einsum("ij,ij->i", x[a], x[b]) / (size[a] * size[b]) >= least
+        if whole:
+            near &= rows_of[:, None] != right[None, :]
+        else:
+            out[right] += copies[rows_of] @ near
+        out[rows_of] += near @ copies[right]
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(out.astype(np.int64))], names=["node", "others"])
+
+
+def _tiles(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile (root, low, high) -> linked copies of each vector within each tile."""
+    at, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and at != tuple(keys[a]):
+                yield _shares(held, at[1] == at[2], least)
+                held = []
+            at = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _shares(held, at[1] == at[2], least)
+
+
+def _completed(pairs: DataFrame, tree: DataFrame, heads: DataFrame, sizes: DataFrame, least: float, tile: int) -> DataFrame:
+    """``a, others``: copies of other vectors that a vector links with, exact within every component."""
+    roots = tree.select(F.col("root").alias("node"), "root").distinct()
+    members = scratch(tree.select("node", "root").unionByName(roots), "vectors-members")
+    owned = pairs.join(members, F.col("a") == F.col("node")).select("a", "b", "root")
+    count = members.groupBy("root").agg(F.count("*").alias("m"))
+    found = owned.groupBy(F.col("root").alias("_r")).agg(F.count("*").alias("found"))
+    gaps = count.join(found, F.col("root") == F.col("_r")).where(2 * F.col("found") < F.col("m") * (F.col("m") - 1))
+    gaps = scratch(gaps.select(F.col("root").alias("_r"), F.ceil(F.col("m") / tile).cast("int").alias("parts")), "vectors-gaps")
+    few = broadcast_if_small(gaps)
+    closed = owned.join(few, F.col("root") == F.col("_r"), "left_anti").select("a", "b")
+    both = closed.unionByName(closed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    listed = both.join(sizes.withColumnRenamed("node", "_n"), F.col("b") == F.col("_n")).groupBy("a").agg(F.sum("copies").alias("others"))
+    part = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("parts")).cast("int")
+    crowd = members.join(few, F.col("root") == F.col("_r")).select("node", "root", "parts", part.alias("part"))
+    crowd = crowd.join(sizes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    crowd = crowd.join(heads.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    spread = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    side = (F.col("part") > F.col("other")).cast("int").alias("side")
+    dealt = spread.select("root", low, high, side, "node", "dim", "copies", "vector").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    counted = dealt.mapInArrow(lambda it: kernels.tidy(_tiles(it, least)), "node bigint, others bigint")
+    return listed.unionByName(counted.groupBy(F.col("node").alias("a")).agg(F.sum("others").alias("others")))
+
+
 def usable(vector):
     """Vectors that can be compared: not null, not empty, finite throughout, not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -107,12 +177,12 @@ def usable(vector):
 
 def near_duplicates(
     df: DataFrame, *, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-    passes: int = PASSES, window: int = WINDOW, bits: int = KEY_BITS, seed: int = 7,
+    passes: int = PASSES, window: int = WINDOW, bits: int = KEY_BITS, seed: int = 7, tile: int = TILE,
 ) -> DataFrame:
     """One row per vector: ``<ident>, n_links, component_id, kept``.
 
-    ``n_links`` counts other vectors found with a cosine of ``least`` or more, equal ones included;
-    ``component_id`` is the smallest identifier reachable by links, ``kept`` marks it. Vectors that are null,
+    ``n_links`` counts other vectors found with a cosine of ``least`` or more, equal ones included, and leaves out none
+    of its component; ``component_id`` is the smallest identifier reachable by links, ``kept`` marks it. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; neither do vectors of different
     length. Rows without an identifier link with nothing, keep a null ``component_id`` and are not kept. Rows
     of one identifier are separate vectors that share a component. An empty table gives an empty result.
@@ -129,12 +199,12 @@ def near_duplicates(
     heads = rows.where("ok").join(mine, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & (F.col("ident") == F.col("node")))
     heads = scratch(heads.groupBy("node", "h1", "h2").agg(F.first("vector").alias("vector")).select("node", F.size("vector").alias("dim"), "vector"), "vectors-heads")
     keyed = heads.mapInArrow(lambda it: kernels.tidy(_keys(it, passes, bits, seed)), KEYED)
-    ordered = keyed.repartitionByRange("pass", "dim", "hash", "node").sortWithinPartitions("pass", "dim", "hash", "node")
+    order = ["pass", "dim", "hash", F.xxhash64("pass", "node"), "node"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     pairs = scratch(ordered.mapInArrow(lambda it: kernels.tidy(_pairs(it, least, window)), "a bigint, b bigint").where("a <> b").distinct(), "vectors-pairs")
     tree = components(pairs, "vectors")
     sizes = classes.groupBy("node").agg(F.sum("copies").alias("copies"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes.withColumnRenamed("node", "_n"), F.col("b") == F.col("_n")).groupBy("a").agg(F.sum("copies").alias("others"))
+    linked = _completed(pairs, tree, heads, sizes, least, tile)
     stats = sizes.join(linked, F.col("node") == F.col("a"), "left").join(tree.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     stats = scratch(stats.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "vectors-stats")
     of = mine.select("_1", "_2", "node").join(stats.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("_1", "_2", "n_links", "component_id")
