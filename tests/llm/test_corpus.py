@@ -428,6 +428,25 @@ def test_permutations_are_one_to_one(spark):
     assert len(set(got)) == 84 and all(0 <= a < 12 and 0 <= b < 7 for a, b in got)
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    rng = np.random.default_rng(1)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+    long = ["".join(rng.choice(letters, n)) for n in (200, 201, 260, 20_000)]
+    values = [*long, long[2][:-1] + ("x" if long[2][-1] != "x" else "y")]  # the last two differ beyond 200 characters only
+    rows = [(k, f"{mark}{v} and more") for k, (mark, v) in enumerate((m, v) for v in values for m in ("password=", "token: "))]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    new = []
+    for k, text in rows:
+        mark = "token: " if k % 2 else "password="
+        made = got[k].text.removeprefix(mark).removesuffix(" and more")
+        old = values[k // 2]
+        assert (got[k].n_found, got[k].n_replaced, len(made)) == (1, 1, len(old))
+        kind = lambda s: ["9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in s]
+        assert kind(made) == kind(old) and max(sum(a == b for a, b in zip(made[i:], old[i : i + 50])) for i in range(0, len(old) - 49, 50)) < 25
+        new.append(made)
+    assert new[::2] == new[1::2] and len(set(new)) == len(values)
+
+
 # --- 9: vectors ---------------------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ Numbers and dates are found by pattern, validated (Luhn digit, octet ranges, cal
 replaced by the output of a keyed Feistel network over their own format: a valid card number becomes
 another valid card number, a date another date. The permutation depends on nothing but key and value, so
 equal values stay linked across documents and different values stay different. E-mail names and secrets
-are permuted character by character within their character classes.
+are permuted character by character within their character classes, over their whole length.
 
 Everything is a DataFrame expression: one scan, no shuffle, no Python on executors.
 """
@@ -21,7 +21,7 @@ ROUNDS = 10
 #: What each kind looks like. Order matters: the first that matches wins.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))[A-Za-z0-9_+/-]{8,200}",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))[A-Za-z0-9_+/-]{8,}+",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -64,8 +64,7 @@ def feistel_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, salt:
 def _shift(text: Column, stream: Column) -> Column:
     """Move each digit, capital and small letter within its class by a byte of the stream (hex)."""
 
-    def moved(i: Column, x: Column, hexes: Column) -> Column:
-        c = F.substring(x, i + 1, F.lit(1))
+    def moved(c: Column, i: Column, hexes: Column) -> Column:
         code = F.ascii(c)
         k = F.conv(F.substring(hexes, 1 + 2 * (i % 64), F.lit(2)), 16, 10).cast("int")
         around = lambda low, n: F.char(low + (code - low + k) % n)
@@ -74,8 +73,8 @@ def _shift(text: Column, stream: Column) -> Column:
             .when((code >= 65) & (code <= 90), around(65, 26)).otherwise(c)
         )
 
-    both = F.struct(text.alias("x"), stream.alias("h"))
-    chars = let(both, lambda v: F.transform(F.sequence(F.lit(0), F.length(v["x"]) - 1), lambda i: moved(i, v["x"], v["h"])))
+    both = F.struct(F.split(text, "").alias("x"), stream.alias("h"))
+    chars = let(both, lambda v: F.transform(v["x"], lambda c, i: moved(c, i, v["h"])))
     return F.when(F.length(text) > 0, F.array_join(chars, "")).otherwise(text)
 
 
@@ -108,13 +107,14 @@ def luhn_sum(digits: Column, doubled_first: bool) -> Column:
 def _refill(shape: Column, filling: Column, slots: str) -> Column:
     """Put the characters of ``filling`` in the slots (a character class) of ``shape``, in order."""
 
-    def at(s: Column, f: Column, i: Column) -> Column:
-        c = F.substring(s, i + 1, F.lit(1))
-        nth = F.length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), f"[^{slots}]", ""))
-        return F.when(c.rlike(f"[{slots}]"), F.substring(f, nth, F.lit(1))).otherwise(c)
+    tagged = F.transform(F.split(shape, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    slot = lambda x: x["c"].rlike(f"[{slots}]")
 
-    both = F.struct(shape.alias("s"), filling.alias("f"))
-    chars = let(both, lambda v: F.transform(F.sequence(F.lit(0), F.length(v["s"]) - 1), lambda i: at(v["s"], v["f"], i)))
+    def filled(v: Column) -> Column:
+        new = F.transform(F.filter(v["s"], slot), lambda x, k: F.struct(x["i"].alias("i"), F.get(v["f"], k).alias("c")))
+        return F.transform(F.sort_array(F.concat(new, F.filter(v["s"], lambda x: ~slot(x)))), lambda x: x["c"])
+
+    chars = let(F.struct(tagged.alias("s"), F.split(filling, "").alias("f")), filled)
     return F.when(F.length(shape) > 0, F.array_join(chars, "")).otherwise(shape)
 
 
