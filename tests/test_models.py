@@ -90,6 +90,17 @@ def test_shapley_values_add_up(problem, name, params):
     assert top.feature == "a"
 
 
+def test_shapley_base_counts_every_row(spark):
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({"a": rng.normal(size=3000), "b": rng.normal(size=3000)})
+    data["y"] = 3 * data["a"] + (data["b"] > 3.0) * 1000  # a branch of few rows
+    df = frame(spark, data)
+    model = make_regressor("decision_tree", maxDepth=4).fit(df, ["a", "b"], "y")
+    explained = tree_shap_values(model, model.predict(df)).toPandas()
+    np.testing.assert_allclose(explained["shap_base"], explained["prediction"].mean(), rtol=1e-9)
+    np.testing.assert_allclose(explained[["shap_a", "shap_b", "shap_base"]].sum(1), explained["prediction"], atol=1e-6)
+
+
 def test_shapley_values_by_definition(problem):
     """One tree: each value is the mean over orders of what a feature adds to the conditional expectation."""
     from itertools import permutations

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.core.columns import number
 from tidewater.core.errors import ConfigurationError
 from tidewater.evaluation.metrics import score
+from tidewater.models.gram import sum_of
 from tidewater.models.registry import Regressor, Trees
 
 
@@ -175,23 +176,20 @@ def _trees_of(model: Trees) -> list[_Tree]:
     return out
 
 
-#: Background rows that weigh the branches of the trees.
-BACKGROUND = 1_000
-
-
 def tree_shap_values(model: Regressor, df: DataFrame, *, prefix: str = "shap_") -> DataFrame:
     """Append ``shap_<feature>`` and ``shap_base``: with the base they add up to the prediction.
 
-    Branch weights come from at most ``BACKGROUND`` rows of ``df`` (those of the least hashes). Rows with a missing
-    feature get NULL.
+    Branch weights are the counts of all complete rows of ``df`` that pass each node. Rows with a missing feature get
+    NULL.
     """
     if not isinstance(model, Trees):
         raise ConfigurationError(f"tree Shapley values need a tree model, not {type(model).__name__}")
     trees, names = _trees_of(model), list(model.features_)
     cells = [number(df, c).alias(c) for c in names]
-    sample = df.select(*cells).na.drop().orderBy(F.xxhash64(*names)).limit(BACKGROUND).toPandas().to_numpy(np.float64)
-    for t in trees:
-        t.cover = t.count(sample).tolist()
+    nodes = sum(len(t.feature) for t in trees)
+    covers = sum_of(df.select(*cells).na.drop(), (nodes,), lambda x: np.concatenate([t.count(x) for t in trees]))
+    for t, cover in zip(trees, np.split(covers, np.cumsum([len(t.feature) for t in trees])[:-1])):
+        t.cover = cover.tolist()
     base = sum(t.mean() for t in trees)
 
     @F.pandas_udf("array<double>")
