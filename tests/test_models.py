@@ -70,6 +70,25 @@ def test_registry_errors(problem):
         make_regressor("linear").fit(problem.withColumn("t", F.lit("x")), ["t"], "y")
 
 
+def test_knn_beyond_one_block(spark, problem, monkeypatch):
+    """Many blocks merged give what brute force gives, with ties, repeated rows and missing cells."""
+    from tidewater.models import registry
+
+    rng = np.random.default_rng(5)
+    train = pd.DataFrame({"a": rng.integers(0, 8, 500).astype(float), "b": rng.integers(0, 8, 500).astype(float), "y": rng.normal(size=500)})
+    asked = pd.DataFrame({"a": rng.integers(-2, 10, 90).astype(float), "b": rng.integers(0, 16, 90) / 2.0}).assign(k=range(90))
+    for name, n in (("KNN_ROWS", 100), ("KNN_BLOCK", 30), ("KNN_POINTS", 20)):
+        monkeypatch.setattr(registry, name, n)
+    df = frame(spark, asked).withColumn("b", F.when(F.col("k") != 7, F.col("b")))
+    got = make_regressor("knn", n_neighbors=4).fit(frame(spark, train), ["a", "b"], "y").predict(df).collect()
+    ordered = train.sort_values(["a", "b", "y"])
+    assert len(got) == 90
+    for r in got:
+        far = (ordered["a"] - r.a) ** 2 + (ordered["b"] - r.b) ** 2 if r.b is not None else None
+        want = None if far is None else ordered["y"].to_numpy()[np.argsort(far.to_numpy(), kind="stable")[:4]].mean()
+        assert r.prediction == (want if want is None else pytest.approx(want))
+
+
 def test_importances(spark, problem):
     model = make_regressor("linear").fit(problem, ["a", "b", "noise"], "y")
     table = importance_table(problem, extract_importances(model), top=2).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -122,14 +122,47 @@ class Trees(Regressor):
         return dict(zip(self.features_, map(float, self.model_.featureImportances.toArray())))
 
 
-#: Training rows that nearest neighbours hold and broadcast at most.
-KNN_ROWS = 50_000
+#: Training rows that nearest neighbours hold and broadcast at most; rows of a block, and points compared with it at a
+#: time, beyond that.
+KNN_ROWS, KNN_BLOCK, KNN_POINTS = 50_000, 20_000, 1_000
+
+
+def _nearest(x: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and squared distances of the ``k`` nearest of the sorted rows ``x``, in order."""
+    far = ((x - row) ** 2).sum(1)
+    some = np.arange(len(far))
+    if len(far) > k and not np.isnan(edge := np.partition(far, k - 1)[k - 1]):
+        some = np.flatnonzero(far <= edge)
+    at = some[np.argsort(far[some], kind="stable")[:k]]
+    return at, far[at]
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """Rows of doubles as matrices of at most ``rows`` rows, sorted."""
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.to_numpy(np.float64))
+            n += len(batch)
+            if n >= rows:
+                yield cut(held)
+                held, n = [], 0
+        if n:
+            yield cut(held)
+
+    def cut(held: list[np.ndarray]) -> pd.DataFrame:
+        whole = np.concatenate(held)
+        parts = [whole[k : k + rows] for k in range(0, len(whole), rows)]
+        return pd.DataFrame({"cells": [p[np.lexsort(p.T[::-1])].tobytes() for p in parts]})
+
+    return df.mapInPandas(pack, "cells binary")
 
 
 class Knn(Regressor):
     """Mean of the ``n_neighbors`` nearest training rows (Euclidean; ties: the smaller feature values).
 
-    Brute force in batches against the broadcast training set, which is refused beyond ``KNN_ROWS`` rows.
+    Brute force in batches against the broadcast training set. Beyond ``KNN_ROWS`` rows the training set stays a table:
+    the different points asked for meet every block of it, and the nearest of each block are merged.
     """
 
     def __init__(self, *, n_neighbors: int = 5):
@@ -137,14 +170,15 @@ class Knn(Regressor):
 
     def learn(self, rows: DataFrame) -> None:
         got = rows.limit(KNN_ROWS + 1).toPandas()
-        if len(got) > KNN_ROWS:
-            raise ConfigurationError(f"knn compares with every training row and takes at most {KNN_ROWS}")
+        self.rows_ = rows if len(got) > KNN_ROWS else None
         if len(got) < self.params["n_neighbors"]:
             raise ConfigurationError(f"{len(got)} training rows are fewer than n_neighbors={self.params['n_neighbors']}")
         got = got.sort_values([*self.features_, "__y"]).to_numpy(np.float64)
-        self.x_, self.y_ = got[:, :-1], got[:, -1]
+        self.x_, self.y_ = (got[:, :-1], got[:, -1]) if self.rows_ is None else (None, None)
 
     def apply(self, df: DataFrame, name: str) -> DataFrame:
+        if self.rows_ is not None:
+            return self._merged(df, name)
         held = df.sparkSession.sparkContext.broadcast((self.x_, self.y_))
         k = self.params["n_neighbors"]
 
@@ -154,13 +188,36 @@ class Knn(Regressor):
             out = np.full(len(cells), np.nan)
             for i, row in enumerate(cells):
                 if row is not None and not np.isnan(np.asarray(row, float)).any():
-                    far = ((x - np.asarray(row, float)) ** 2).sum(1)
-                    out[i] = y[np.argsort(far, kind="stable")[:k]].mean()
+                    out[i] = y[_nearest(x, np.asarray(row, float), k)[0]].mean()
             return pd.Series(out)
 
         made = nearest(F.array(*[number(df, c) for c in self.features_]))
         return df.withColumn(name, F.when(~F.isnan(made), made))
 
+    def _merged(self, df: DataFrame, name: str) -> DataFrame:
+        k, m = self.params["n_neighbors"], len(self.features_)
+        points = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(self.features_)]).na.drop().distinct()
+        blocks = _packed(self.rows_, KNN_BLOCK).withColumnRenamed("cells", "block")
+        both = blocks.hint("shuffle_replicate_nl").crossJoin(_packed(points, KNN_POINTS))
+
+        def candidates(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for block, cells in zip(batch["block"], batch["cells"]):
+                    train = np.frombuffer(block).reshape(-1, m + 1)
+                    x, out = np.ascontiguousarray(train[:, :-1]), []
+                    for row in np.frombuffer(cells).reshape(-1, m):
+                        at, far = _nearest(x, row, k)
+                        out += [(row.tolist(), float(d), x[i].tolist(), float(train[i, -1])) for i, d in zip(at, far)]
+                    yield pd.DataFrame(out, columns=["__at", "far", "x", "y"])
+
+        found = both.mapInPandas(candidates, "__at array<double>, far double, x array<double>, y double")
+        near = F.slice(F.sort_array(F.collect_list(F.struct("far", "x", "y"))), 1, k)
+        total = F.aggregate(near, F.lit(0.0), lambda a, v: a + v["y"])
+        means = found.groupBy("__at").agg((total / k).alias("__mean"))
+        at = F.array(*[number(df, c) for c in self.features_])
+        made = df.withColumn("__cells", at).join(means, F.col("__cells") == F.col("__at"), "left").drop("__cells", "__at")
+        return made.withColumn(name, F.col("__mean")).drop("__mean")
+
 
 class KernelSvr(Regressor):
     """Support-vector-like regression: random Fourier features of a Gaussian kernel (Rahimi & Recht 2007) under a

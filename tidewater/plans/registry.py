@@ -484,6 +484,20 @@ def knn_predict(spark, d):
     return rounded(make_regressor("knn", n_neighbors=3).fit(train, ["a"], "s_acctbal").predict(asked).select("c_custkey", "prediction"), 4)
 
 
+_KNN_ALL_SQL = """WITH t AS (SELECT s_nationkey::DOUBLE AS a, s_acctbal AS y FROM supplier), q AS (SELECT c_custkey, c_nationkey::DOUBLE AS a FROM customer),
+p AS (SELECT DISTINCT a FROM q), x AS (SELECT p.a, y, row_number() OVER (PARTITION BY p.a ORDER BY (p.a - t.a) ** 2, t.a, t.y) AS k FROM p, t)"""
+
+
+@query(f"{_KNN_ALL_SQL} SELECT c_custkey, {r('any_value(m)', 4)} AS prediction FROM q JOIN (SELECT a, avg(y) AS m FROM x WHERE k <= 3 GROUP BY a) USING (a) GROUP BY c_custkey")
+def knn_predict_all(spark, d):
+    """Like knn_predict, trained on every supplier and asked for every customer."""
+    from tidewater.models.registry import make_regressor
+
+    train = table(spark, d, "supplier").select(F.col("s_nationkey").cast("double").alias("a"), "s_acctbal")
+    asked = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("a"))
+    return rounded(make_regressor("knn", n_neighbors=3).fit(train, ["a"], "s_acctbal").predict(asked).select("c_custkey", "prediction"), 4)
+
+
 @query(f"""WITH e AS (SELECT event_id, user_id, value, list(value) OVER w AS s, lead(value, 6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, lead(event_id, 6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS there
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
 SELECT event_id, len(s) AS n, {r('list_sum(s)')} AS total, {r('s[1] - s[5]')} AS fall, {r('nxt')} AS target_next FROM e WHERE len(s) = 5 AND there IS NOT NULL""")
