@@ -530,12 +530,21 @@ def safe_filename(spark, d):
 
 
 def _stations(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey <= 40").select(
+    return _stations_of(table(spark, d, "supplier").where("s_suppkey <= 40"))
+
+
+def _all_stations(spark, d):
+    return _stations_of(table(spark, d, "supplier"))
+
+
+def _stations_of(suppliers):
+    return suppliers.select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("station_name"), ((F.col("s_suppkey") * 37) % 100 / 10.0).alias("station_lat"), ((F.col("s_suppkey") * 53) % 100 / 10.0).alias("station_lon"),
     )
 
 
 _STATIONS_SQL = "SELECT 'S' || s_suppkey AS station_name, (s_suppkey * 37) % 100 / 10.0 AS station_lat, (s_suppkey * 53) % 100 / 10.0 AS station_lon FROM supplier WHERE s_suppkey <= 40"
+_ALL_STATIONS_SQL = "SELECT 'S' || s_suppkey AS station_name, (s_suppkey * 37) % 100 / 10.0 AS station_lat, (s_suppkey * 53) % 100 / 10.0 AS station_lon FROM supplier"
 _GRID_SQL = "SELECT ts AS time, (event_id % 11)::DOUBLE AS lat, (event_id % 13 * 0.75)::DOUBLE AS lon, value AS t2m FROM events"
 
 
@@ -552,6 +561,16 @@ def grid_nearest(spark, d):
     return rounded(geo.sample_at_points(_grid(spark, d), _stations(spark, d)))
 
 
+_ALL_CELLS_SQL = f"""WITH g AS ({_GRID_SQL}), s AS ({_ALL_STATIONS_SQL}),
+a AS (SELECT station_name, arg_min(lat, (abs(lat - station_lat), lat)) AS cell_lat FROM s, (SELECT DISTINCT lat FROM g) GROUP BY ALL), o AS (SELECT station_name, arg_min(lon, (abs(lon - station_lon), lon)) AS cell_lon FROM s, (SELECT DISTINCT lon FROM g) GROUP BY ALL)"""
+
+
+@query(f"{_ALL_CELLS_SQL} SELECT station_name, time AS timestamp, {r('t2m')} AS t2m FROM g JOIN a ON lat = cell_lat JOIN o USING (station_name) WHERE lon = cell_lon")
+def grid_nearest_all(spark, d):
+    """Like grid_nearest, for every supplier's station."""
+    return rounded(geo.sample_at_points(_grid(spark, d), _all_stations(spark, d)))
+
+
 _MERGE_SQL = "SELECT 'U' || user_id AS station_name, date_trunc('day', ts) AS timestamp, {agg} FROM events WHERE event_type = '{t}' GROUP BY 1, 2"
 
 
@@ -570,6 +589,12 @@ def area_box(spark, d):
     return rounded(geo.expand_area(_stations(spark, d)))
 
 
+@query(f"SELECT {r('max(station_lat) + 0.5')} AS north, {r('min(station_lon) - 0.5')} AS west, {r('min(station_lat) - 0.5')} AS south, {r('max(station_lon) + 0.5')} AS east FROM ({_ALL_STATIONS_SQL})")
+def area_box_all(spark, d):
+    """Like area_box, around every supplier's station."""
+    return rounded(geo.expand_area(_all_stations(spark, d)))
+
+
 @query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS t FROM orders")
 def parse_times(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("t"))
