@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidewater.llm import bpe_codec, chat, components, jaccard_join, kernels, language_id, mixing, pii, quality, substring_dedup, token_counts, vector_dedup  # noqa: E402
 
+SF = Path("/root/testdata/sf0.1")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Text_2 string, part int, node long, kind string, seq int"
 
@@ -257,12 +259,57 @@ def test_quality(spark, docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if r.kept)
 
 
+def brute_kept(rows: list[tuple]) -> dict:
+    """doc_id -> verdict, from rows (doc_id, text, lang, source), by sorting all values of each group."""
+    def bucket(x: int) -> int:
+        shift = max(0, x.bit_length() - 6)
+        return x >> shift << shift
+
+    at = {}
+    for ident, text, lang, source in rows:
+        n, chars, marks, dups, again = brute_measures(text)
+        lines = sum(1 for x in (text or "").split("\n") if WORDS.search(x))
+        parts = [(marks, n, 1), (dups, lines, 1), (again, n, 6), (chars, n, 1)]
+        at[ident] = (lang, source, n < 50 or 100 * again > 50 * n, [(bucket(1_000_000 * x // max(y, 1)), bucket(y), z) for x, y, z in parts])
+    out = {}
+    for ident, (lang, source, bad, values) in at.items():
+        good = [v for v in at.values() if not v[2]]
+        groups = [[v for v in good if v[:2] == (lang, source)], [v for v in good if v[0] == lang], good]
+        group = next((g for g in groups[:2] if len(g) >= quality.LEAST_ROWS), good)
+        kept = not bad
+        for k, (x, _, least) in enumerate(values):
+            seen, sizes = sorted(v[3][k][0] for v in group), sorted(v[3][k][1] for v in group)
+            if seen:
+                q1, q3, size = seen[-(-len(seen) // 4) - 1], seen[-(-3 * len(seen) // 4) - 1], sizes[-(-len(sizes) // 2) - 1]
+                spread = max(q3 - q1, 1_000_000 * least // size, q3 // 32)
+                kept = kept and q1 - 6 * spread <= x <= q3 + 6 * spread
+        out[ident] = kept
+    return out
+
+
 def test_fences_follow_the_group(spark):
     rng = np.random.default_rng(0)
     said = lambda n, marks: " ".join(w + ("#" if k < marks else "") for k, w in enumerate(words(rng, n, 10**5)))
     rows = [(k, said(100, 30 if k % 2 else 0), "en", "code" if k % 2 else "prose") for k in range(200)] + [(900, said(100, 30), "en", "prose"), (901, said(100, 99), "en", "code")]
-    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[k] for k in range(200)) and not got[900] and not got[901] is True
+    rows += [(1000 + k, said(60 + 3 * k, int(rng.integers(0, 6))), [None, "de"][k % 2], ["a", "b", None][k % 3]) for k in range(150)] + [(2000, "x" * 500 + " y" * 80, "de", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.assess(df).collect()}
+    assert all(got[k] for k in range(200)) and not got[900] and not got[901] and not got[2000]
+    assert got == brute_kept(rows)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
+def test_fences_differ_between_groups_of_the_tables(spark):
+    limits = quality.fences(quality.measures(spark.read.parquet(str(SF / "documents.parquet")).select("lang", "source", "text"))).collect()
+    for c in ("high_symbols", "high_repeats", "high_word_chars", "low_word_chars"):
+        assert len({r[c] for r in limits}) > 1, c
+
+
+def test_quality_takes_clashing_names(spark):
+    rows = [(k, f"{'word ' * 3}t{k} " + " ".join(words(np.random.default_rng(k), 80, 10**6)), "en", "s", 7, "own", 1.5, "h") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines long, n_words string, q_words double, held string")
+    assert sorted(quality.keep_good(df).collect()) == sorted(df.collect())
+    assert quality.assess(df).count() == 4
 
 
 def test_sketches_merge(spark, docs):

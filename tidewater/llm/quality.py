@@ -1,9 +1,18 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Every measure of a document (per mille of its words or lines) goes into a mergeable quantile sketch of its
-(language, source): counts in buckets whose width grows with the value, so a quantile is within 1/32 of its
-value and sketches merge by adding counts. Quartiles of a group set its fences; groups of few documents use
-their language's merged sketch, and failing that everyone's. Documents are then filtered by a join.
+Every measure of a document (parts per million of its words or lines) goes into a mergeable quantile sketch of
+its (language, source): counts in buckets whose width grows with the value, so a quantile is within 1/32 of its
+value and sketches merge by adding counts. Documents that fail the base rules teach nothing. The group's own
+quantiles set both fences of a measure:
+
+    lower quartile - REACH * spread  <=  value  <=  upper quartile + REACH * spread
+
+The spread is the interquartile range, but no less than what the least occurrence (one symbol, one line, two
+windows of three words) makes of a document of the group's median length, and no less than the sketch's
+resolution (1/32 of the upper quartile). So a measure that is zero in three of
+four documents still has a fence: ``REACH`` least occurrences in a median document. No threshold is a fixed share.
+Groups of few documents use their language's merged sketch, and failing that everyone's. Documents are then
+filtered by a join.
 
 All of it is DataFrame expressions: one scan for the measures, a partial aggregate for the sketches, a join
 with one small row per group.
@@ -17,11 +26,14 @@ from pyspark.sql.window import Window
 
 from tidewater.llm.common import WORD, broadcast_if_small, fresh, scratch, words_of
 
-#: Measure -> least fence in per mille. A fence adapts upwards from here, so a clean group is not trimmed.
-MEASURES = {"symbols": 150, "dup_lines": 500, "repeats": 300, "word_chars": 15_000}
+#: Measure -> what is counted, of what, and the least that can occur of it.
+MEASURES = {
+    "symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 6), "word_chars": ("word_chars", "n_words", 1),
+}
 
-#: Fence = upper quartile + REACH interquartile ranges. Groups under LEAST_ROWS use a merged sketch.
-REACH, LEAST_ROWS = 6, 50
+#: Fences lie REACH spreads beyond the quartiles; shares are parts of SCALE. Groups under LEAST_ROWS use a merged sketch.
+REACH, SCALE, LEAST_ROWS = 6, 1_000_000, 50
 
 #: Hard rules: fewer words than this fail, or more than this share of repeated words (per cent).
 MIN_WORDS, MAX_REPEATS = 50, 50
@@ -77,55 +89,71 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
-def per_mille() -> dict[str, Column]:
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    part = lambda a, b: F.floor(1000 * F.col(a) / b).cast("bigint")
-    return {
-        "symbols": part("n_symbols", words), "dup_lines": part("n_dup_lines", lines),
-        "repeats": part("n_repeat_words", words), "word_chars": part("word_chars", words),
-    }
+def shares() -> dict[str, Column]:
+    """Every measure in parts of ``SCALE``; 0 where there is nothing to measure."""
+    div = lambda x, y: F.call_function("div", x, F.greatest(y, F.lit(1).cast("bigint")))
+    return {m: div(SCALE * F.col(part), F.col(whole).cast("bigint")) for m, (part, whole, _) in MEASURES.items()}
 
 
 def sketch(measured: DataFrame, *, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Quantile sketches: ``lang, source, measure, bucket, n``. Merge by summing ``n``."""
-    rows = [F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in per_mille().items()]
-    long = measured.where(F.col("n_words") > 0).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(F.array(*rows)))
+    """Quantile sketches of documents that pass the base rules: ``lang, source, measure, bucket, n``.
+
+    ``n_words`` and ``n_lines`` are sketched besides the shares. Merge by summing ``n``.
+    """
+    values = shares() | {"n_words": F.col("n_words"), "n_lines": F.col("n_lines")}
+    rows = [F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in values.items()]
+    long = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(F.array(*rows)))
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def quartile_fences(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Fence per group and measure from sketch counts, with ``docs``, the documents behind it."""
+    """``docs`` behind each group and ``low_<measure>, high_<measure>`` from its sketch counts."""
     merged = counts.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(*by, "measure")
+    whole = Window.partitionBy(*by, "measure")  # a sketch has a bounded number of buckets
     upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumns({"_upto": F.sum("n").over(upto), "docs": F.sum("n").over(whole)})
     at = lambda quarters: F.min(F.when(4 * F.col("_upto") >= quarters * F.col("docs"), F.col("bucket")))
-    q = ranked.groupBy(*by, "measure").agg(at(1).alias("_q1"), at(3).alias("_q3"), F.max("docs").alias("docs"))
-    least = F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
-    fence = F.greatest(least[F.col("measure")], F.col("_q3") + REACH * (F.col("_q3") - F.col("_q1")))
-    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES])
+    q = ranked.groupBy(*by, "measure").agg(at(1).alias("_q1"), at(2).alias("_q2"), at(3).alias("_q3"), F.max("docs").alias("docs"))
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    out = []
+    for m, (_, size, least) in MEASURES.items():
+        spread = F.greatest(of(m, "_q3") - of(m, "_q1"), F.call_function("div", F.lit(SCALE * least).cast("bigint"), of(size, "_q2")), F.call_function("div", of(m, "_q3"), F.lit(32).cast("bigint")))
+        out += [(of(m, "_q1") - REACH * spread).alias(f"low_{m}"), (of(m, "_q3") + REACH * spread).alias(f"high_{m}")]
+    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *out)
+
+
+#: The fences of a group.
+FENCES = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
 
 
 def fences(measured: DataFrame, *, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per (lang, source) with its fences, from its own or a merged sketch."""
+    """One row per (lang, source) with its ``FENCES``, from its own or a merged sketch.
+
+    Groups without a document that passes the base rules have no row.
+    """
     counts = scratch(sketch(measured, lang=lang, source=source), "quality-sketch")
     own = quartile_fences(counts, ["lang", "source"])
-    wide = quartile_fences(counts, ["lang"]).select(F.col("lang").alias("_l"), F.col("docs").alias("_ld"), *[F.col(m).alias(f"_l_{m}") for m in MEASURES])
-    every = quartile_fences(counts.withColumn("_", F.lit(0)), ["_"]).select(*[F.col(m).alias(f"_a_{m}") for m in MEASURES])
-    out = own.join(wide, F.col("lang").eqNullSafe(F.col("_l")), "left").crossJoin(F.broadcast(every))  # one row
-    pick = lambda m: F.when(F.col("docs") >= LEAST_ROWS, F.col(m)).when(F.col("_ld") >= LEAST_ROWS, F.col(f"_l_{m}")).otherwise(F.col(f"_a_{m}"))
-    return scratch(out.select("lang", "source", *[pick(m).alias(f"max_{m}") for m in MEASURES]), "quality-fences")
+    wide = quartile_fences(counts, ["lang"]).select(F.col("lang").alias("_l"), F.col("docs").alias("_ld"), *[F.col(c).alias(f"_l_{c}") for c in FENCES])
+    every = quartile_fences(counts.withColumn("_", F.lit(0)), ["_"]).first()  # one row of as many numbers as there are fences
+    out = own.join(wide, F.col("lang").eqNullSafe(F.col("_l")), "left")
+
+    def pick(c: str) -> Column:
+        rest = F.lit(every[c] if every else None).cast("bigint")
+        return F.when(F.col("docs") >= LEAST_ROWS, F.col(c)).when(F.col("_ld") >= LEAST_ROWS, F.col(f"_l_{c}")).otherwise(rest)
+
+    return scratch(out.select("lang", "source", *[pick(c).alias(c) for c in FENCES]), "quality-fences")
 
 
 def judge(measured: DataFrame, limits: DataFrame, *, lang: str = "lang", source: str = "source") -> DataFrame:
     """Append ``base_failed`` and ``kept`` by joining every document with its group's fences."""
     small = broadcast_if_small(limits).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = measured.join(small, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    over = F.lit(False)
-    for m, v in per_mille().items():
-        over = over | F.coalesce(bucket(v) > F.col(f"max_{m}"), F.lit(False))  # a fence is a bucket, too
-    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
-    return out.drop("_lang", "_source", *[f"max_{m}" for m in MEASURES])
+    beyond = F.lit(False)
+    for m, v in shares().items():
+        b = bucket(v)  # fences are made of buckets, too
+        beyond = beyond | F.coalesce((b < F.col(f"low_{m}")) | (b > F.col(f"high_{m}")), F.lit(False))
+    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond)
+    return out.drop("_lang", "_source", *FENCES)
 
 
 def assess(df: DataFrame, *, ident: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -141,12 +169,15 @@ def assess(df: DataFrame, *, ident: str = "doc_id", text: str = "text", lang: st
 
 
 def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``df`` that pass, with its columns as they were."""
-    narrow = df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    limits = fences(scratch(measures(narrow).drop("text"), "quality-measures"))
+    """The rows of ``df`` that pass, with its columns as they were, whatever they are called.
+
+    Rows are stored once beside their measures, so that texts are measured once. Nulls, repeated rows, very long
+    texts and empty tables as in ``assess``.
+    """
     held = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("held")
     rows = df.select(held, F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return judge(measures(rows), limits).where("kept").select("held.*")
+    measured = scratch(measures(rows).drop("text"), "quality-rows")
+    return judge(measured, fences(measured.drop("held"))).where("kept").select("held.*")
 
 
 #: DuckDB SQL of ``assess`` with the default parameters.
@@ -169,28 +200,32 @@ WITH d AS (
   SELECT l.doc_id, lang, source, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM l LEFT JOIN r ON l.doc_id = r.doc_id
+), t AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS bad, greatest(n_words, 1)::BIGINT AS w, greatest(n_lines, 1)::BIGINT AS z FROM m
 ), v AS (
-  SELECT doc_id, lang, source, n_words, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS measure, unnest([150, 500, 300, 15000]) AS least,
-    unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)])::BIGINT AS x
-  FROM m
+  SELECT doc_id, lang, source, bad, unnest(['symbols', 'dup_lines', 'repeats', 'word_chars']) AS measure, unnest([1, 1, 6, 1]) AS least, unnest([w, z, w, w]) AS size,
+    unnest([1000000 * n_symbols // w, 1000000 * n_dup_lines // z, 1000000 * n_repeat_words // w, 1000000 * word_chars // w])::BIGINT AS x
+  FROM t
 ), u AS (
-  SELECT *, CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::BIGINT) << (length(bin(x)) - 6)::BIGINT END AS bucket FROM v
+  SELECT *, CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::BIGINT) << (length(bin(x)) - 6)::BIGINT END AS bucket,
+    CASE WHEN size < 64 THEN size ELSE (size >> (length(bin(size)) - 6)::BIGINT) << (length(bin(size)) - 6)::BIGINT END AS size_bucket FROM v
 ), b AS (
-  SELECT * FROM u WHERE n_words > 0
-), own AS (
-  SELECT lang, source, measure, any_value(least) AS least, count(*) AS docs, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
-), wide AS (
-  SELECT lang, measure, count(*) AS docs, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
-), every AS (
-  SELECT measure, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL
+  SELECT * FROM u WHERE NOT bad
+), q AS (
+  SELECT lang, source, measure, grouping(source) AS no_source, grouping(lang) AS no_lang, count(*) AS docs, quantile_disc(bucket, 0.25) AS q1,
+    quantile_disc(bucket, 0.75) AS q3, any_value(least) AS least, quantile_disc(size_bucket, 0.5) AS size
+  FROM b GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))
+), s AS (
+  SELECT *, greatest(q3 - q1, 1000000 * least // size, q3 // 32) AS spread FROM q
 ), f AS (
   SELECT own.lang, own.source, own.measure,
-    CASE WHEN own.docs >= 50 THEN greatest(least, own.q3 + 6 * (own.q3 - own.q1))
-         WHEN wide.docs >= 50 THEN greatest(least, wide.q3 + 6 * (wide.q3 - wide.q1))
-         ELSE greatest(least, every.q3 + 6 * (every.q3 - every.q1)) END AS fence
-  FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.measure = wide.measure JOIN every ON own.measure = every.measure
+    CASE WHEN own.docs >= 50 THEN own.q1 - 6 * own.spread WHEN wide.docs >= 50 THEN wide.q1 - 6 * wide.spread ELSE every.q1 - 6 * every.spread END AS low,
+    CASE WHEN own.docs >= 50 THEN own.q3 + 6 * own.spread WHEN wide.docs >= 50 THEN wide.q3 + 6 * wide.spread ELSE every.q3 + 6 * every.spread END AS high
+  FROM (SELECT * FROM s WHERE no_source = 0 AND no_lang = 0) own
+    JOIN (SELECT * FROM s WHERE no_source = 1 AND no_lang = 0) wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.measure = wide.measure
+    JOIN (SELECT * FROM s WHERE no_lang = 1) every ON own.measure = every.measure
 ), o AS (
-  SELECT DISTINCT u.doc_id FROM u JOIN f ON u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source AND u.measure = f.measure WHERE bucket > fence
+  SELECT DISTINCT u.doc_id FROM u JOIN f ON u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source AND u.measure = f.measure WHERE bucket < low OR bucket > high
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
