@@ -66,7 +66,7 @@ def test_word_hashes_know_words():
     known: dict[str, int] = {}
     for part in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(3), pa.array(texts, pa.large_string())):
         shift = len(texts) - len(part)
-        for first, hashes, bounds in kernels.word_hashes(part):
+        for first, hashes, bounds in kernels.hashing(1).words(part):
             for k in range(len(bounds) - 1):
                 said = WORDS.findall(texts[shift + first + k] or "")
                 got = hashes[bounds[k] : bounds[k + 1]].tolist()
@@ -87,11 +87,35 @@ def test_packing(n):
 def test_windows_are_equal_only_for_equal_words():
     rng = np.random.default_rng(0)
     w = rng.integers(0, 3, 300).astype(np.uint64)
-    h = kernels.windows(w, 6)
-    seen: dict[tuple, int] = {}
-    for k, x in enumerate(h.tolist()):
-        assert seen.setdefault(tuple(w[k : k + 6].tolist()), x) == x
-    assert len(set(seen.values())) == len(seen)
+    for part in kernels.hashing(2).windows(w, 6):
+        seen: dict[tuple, int] = {}
+        for k, x in enumerate(part.tolist()):
+            assert seen.setdefault(tuple(w[k : k + 6].tolist()), x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_products_and_polynomials_modulo_the_prime():
+    rng = np.random.default_rng(0)
+    a, b = (np.concatenate((rng.integers(0, kernels.PRIME, 500, np.uint64), np.array([0, 1, kernels.PRIME - 1], np.uint64))) for _ in range(2))
+    assert kernels.times(a, b).tolist() == [x * y % kernels.PRIME for x, y in zip(a.tolist(), b.tolist())]
+    base = 3**35 % kernels.PRIME
+    want = [sum(x * pow(base, k, kernels.PRIME) for k, x in enumerate(a.tolist()[i : i + 50])) % kernels.PRIME for i in range(len(a) - 49)]
+    assert kernels.Rolling(base).windows(a, 50).tolist() == want
+
+
+def thue_morse(n: int, a: str, b: str) -> list[str]:
+    return [b if k.bit_count() % 2 else a for k in range(n)]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(words(np.random.default_rng(0), 300)) + " " + "x" * 900 + "\ty " + "z" * 200
+    (_, whole, _), = kernels.hashing(1).words(pa.array([text]))
+    for size in (64, 100, 1000):
+        monkeypatch.setattr(kernels, "CHUNK", size)
+        (_, pieces, bounds), = kernels.hashing(1).words(pa.array([text]))
+        assert pieces.tolist() == whole.tolist() and bounds.tolist() == [0, len(whole)]
 
 
 @pytest.mark.parametrize("thin", [True, False])
@@ -353,6 +377,48 @@ def test_substring_dedup(spark, docs, empty, width):
     assert substring_dedup.cut_repeats(empty).count() == 0
 
 
+def test_what_defeats_plain_polynomials(spark):
+    """Words and runs that are Thue-Morse sequences and their complements differ."""
+    long = ["".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    rest = words(np.random.default_rng(0), 49, 10**6)
+    texts = [" ".join([*rest, long[0]]), " ".join([*rest, long[1]]), *(" ".join(thue_morse(1024, *x)) for x in ("ab", "ba")), *long]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (50, 64):
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.cut_repeats(df, width=width).collect()]
+        assert sorted(got) == sorted(brute_cut(rows, width))
+    check_join(spark, rows)
+
+
+@pytest.mark.parametrize("coarse", [4, 4096])
+def test_many_ranges(spark, monkeypatch, coarse):
+    """One exchange or two, merged in small steps: the same result."""
+    monkeypatch.setattr(substring_dedup, "COARSE", coarse)
+    monkeypatch.setattr(substring_dedup, "MERGED", 300)
+    rng = np.random.default_rng(5)
+    shared = [words(rng, 30, 10**6) for _ in range(3)]
+    rows = [(int(k), " ".join([*words(rng, int(rng.integers(0, 40)), 10**6), *shared[k % 3], *words(rng, 5, 50), *shared[(k // 3) % 3]])) for k in rng.permutation(90) - 40]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.cut_repeats(df, width=8, ranges=64).collect()]
+    assert sorted(got) == sorted(brute_cut(rows, 8))
+
+
+def test_bytes_of_a_window_do_not_grow_with_the_ranges(monkeypatch):
+    """Lists that reach the last exchange, with 64 bytes for a row, from the same windows under few and many ranges."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    batches = [pa.RecordBatch.from_pydict({"i": [100 * b + k for k in range(100)], "t": [" ".join(words(rng, 400, 10**6)) for _ in range(100)]}) for b in range(20)]
+    cost = {}
+    for ranges, coarse in ((256, 256), (2**13, 64)):
+        sent = [r for b in substring_dedup._send(batches, 9, 50, coarse, coarse, 97) for r in b.to_pylist()]
+        if ranges != coarse:
+            sent.sort(key=lambda r: r["part"])
+            sent = [r for b in substring_dedup._refine([pa.RecordBatch.from_pylist(sent, substring_dedup.SENT)], ranges, 97, 97) for r in b.to_pylist()]
+        cost[ranges] = sum(64 + sum(len(r[c]) for c in ("hashes", "checks", "owners")) for r in sent) / (2000 * 351)
+    assert cost[2**13] < 1.3 * cost[256] < 20
+
+
 # --- 5: languages ------------------------------------------------------------------------------------------------------------
 
 
@@ -550,11 +616,11 @@ def brute_sets(text: str | None) -> frozenset:
     return frozenset(tuple(said[k : k + 5]) for k in range(max(1, len(said) - 4))) if said else frozenset()
 
 
-def check_join(spark, rows):
+def check_join(spark, rows, **options):
     sets = {d: brute_sets(t) for d, t in rows}
     alike = [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = brute_links(alike, list(sets))
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **options).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, len(sets[d]), want[d][1]) for d, _ in rows)
     return alike
 
@@ -580,6 +646,11 @@ def test_jaccard_join(spark, docs, empty):
     assert len(jaccard_join.near_duplicates(docs).collect()) == docs.count()
 
 
+@pytest.mark.parametrize("bits", [2, 6])
+def test_sets_of_one_identity_are_told_apart(spark, bits):
+    assert check_join(spark, variants(5, 5, 6, 40), bits=bits)
+
+
 def test_groups_beyond_a_tile(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 6)
     assert check_join(spark, variants(4, 2, 40, 60))

@@ -1,19 +1,24 @@
-"""N-gram Jaccard join over whole texts, exact.
+"""N-gram Jaccard join over whole texts.
 
 1. A document becomes its set of hashed five-word shingles; equal sets are one node.
 2. Candidates by prefix filter: two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of
    each in any common order. Rare shingles come first: how many nodes hold a shingle is counted for all
-   shingles of one hash region, and what only one node holds needs no partner. Only packed lists move.
+   shingles of one hash region, and what only one node holds needs no partner. Holders of a shingle whose
+   sizes rule each other out are not linked. Only packed lists move.
 3. Nodes that share a prefix shingle fall into groups; a group's texts meet in tiles of bounded size, ordered
    by set size. In a tile, sizes and hashed bitmaps (set bits of one that the other lacks) bound the overlap
    from above; what is left is decided by exact intersection of sorted arrays. Pairs that links already
    connect are not compared.
 4. Groups beyond one tile are compared tile by tile with a hub first; tiles whose nodes all hang together by
    then are not paired at all, the others are paired within size bands. Nothing is capped.
+
+Shingles are compared by 64 bits (a polynomial modulo 2^61 - 1 and three bits of another, at bases drawn for the
+query), whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,26 +46,42 @@ def prefix(n):
     return n + (-NUM * n) // DEN + 1
 
 
-def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text (A-Z folded)."""
-    for _, words, bounds in kernels.word_hashes(texts, lower=True):
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield kernels.shingles(words[a:b], width)
+#: Different sets under one 64-bit identity that are told apart; (number of nodes)^2 / 2^65 are expected.
+CLASHES = 10_000
+
+
+class Naming:
+    """Sets of shingles and their identities under one salt; what any Python worker needs for either."""
+
+    def __init__(self, salt: int, bits: int = 64, clashes: frozenset[int] = frozenset()):
+        self.salt, self.clashes, self.bits = salt, clashes, bits
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The sorted distinct shingle hashes of each text (A-Z folded)."""
+        made = kernels.hashing(self.salt)
+        for _, words, bounds in made.words(texts, lower=True):
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                yield made.shingles(words[a:b], SHINGLE)
 
+    def node(self, shingles: np.ndarray) -> int:
+        """64-bit identity of a set, the same whatever made it."""
+        node, twin = self.both(shingles)
+        return twin if node in self.clashes else node
 
-def node_of(shingles: np.ndarray) -> int:
-    """64-bit identity of a set, the same whatever made it."""
-    total = kernels.mixed(kernels.mixed(shingles + np.uint64(len(shingles))).sum(keepdims=True, dtype=np.uint64))
-    return int(total.view(np.int64)[0])
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        """Two independent digests of a set, of ``bits`` and of 64 bits."""
+        once = kernels.mixed(shingles + np.uint64(len(shingles)))
+        total = np.stack((once.sum(dtype=np.uint64), kernels.mixed(once ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
+        node, twin = kernels.mixed(total).view(np.int64).tolist()
+        return node >> (64 - self.bits), twin
 
 
-def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterable[pa.RecordBatch], naming: Naming) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), node_of(s), int(np.searchsorted(s, REGION))) for s in shingle_sets(batch.column(1))]
-        n, node, inside = zip(*rows) if rows else ((), (), ())
+        rows = [(len(s), *naming.both(s), int(np.searchsorted(s, REGION))) for s in naming.sets(batch.column(1))]
+        n, node, twin, inside = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(inside, pa.int64())],
-            names=["ident", "n", "node", "inside"],
+            [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, twin, inside))], names=["ident", "n", "node", "twin", "inside"],
         )
 
 
@@ -68,23 +89,18 @@ PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("values", pa.b
 PACKED_DDL = "part int, keys binary, values binary, counts binary"
 
 
-def _slices(part: np.ndarray) -> Iterator[tuple[int, int]]:
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    return ((a, b) for a, b in zip([0, *cuts], [*cuts, len(part)]) if a < b)
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(PACKED.names, map(list, zip(*rows)))), PACKED)
 
 
-def _prefixes(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterable[pa.RecordBatch], naming: Naming, ranges: int) -> Iterator[pa.RecordBatch]:
     """Texts -> shingles of the counted region, or as many as the prefix needs, with their nodes."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
     for batch in (b.slice(k, 50_000) for b in batches for k in range(0, b.num_rows, 50_000)):
         sets: dict[int, np.ndarray] = {}
-        for s in shingle_sets(batch.column(0)):
+        for s in naming.sets(batch.column(0)):
             if len(s):
-                sets[node_of(s)] = s[: max(int(np.searchsorted(s, REGION)), prefix(len(s)))]
+                sets[naming.node(s)] = s[: max(int(np.searchsorted(s, REGION)), prefix(len(s)))]
         if not sets:
             continue
         nodes = np.sort(np.array(list(sets), np.int64))
@@ -94,7 +110,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.Rec
         hashes, owner = hashes[order], owner[order]
         part = (hashes >> shift).astype(np.int64)
         rows = []
-        for a, b in _slices(part):
+        for a, b in kernels.slices(part):
             here, index = np.unique(owner[a:b], return_inverse=True)
             rows.append((int(part[a]), kernels.pack(hashes[a:b]), index.astype(np.uint16).tobytes(), nodes[here].tobytes()))
         yield _batch(rows)
@@ -130,7 +146,7 @@ def _shared(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
         order = np.lexsort((nodes, group))
         hashes, nodes, group, held = hashes[order], nodes[order], group[order], np.minimum(held[order], 2**32 - 1).astype(np.uint32)
         out = []
-        for a, b in _slices(group):
+        for a, b in kernels.slices(group):
             here, index = np.unique(nodes[a:b], return_inverse=True)
             value = len(here).to_bytes(4, "little") + here.tobytes() + index.astype(np.uint32).tobytes()
             out.append((int(group[a]), hashes[a:b].tobytes(), value, held[a:b].tobytes()))
@@ -139,7 +155,7 @@ def _shared(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
 
 
 def _chosen(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """By group of nodes: sizes, and shared shingles -> by hash range, the shared shingles of each prefix.
+    """By group of nodes: sizes, and shared shingles -> by hash range, the shared shingles of each prefix with their sets' sizes.
 
     Rows with null ``counts`` are sizes: ``keys`` holds node, n and shingles in the region.
     """
@@ -168,24 +184,29 @@ def _chosen(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
         single = counted - (upto[last] - upto[first])
         room = np.where(counted < prefix(n), np.int64(2**62), prefix(n) - single)
         keep = np.arange(len(nodes)) - first < room
-        hashes, nodes = hashes[keep], nodes[keep]
+        hashes, nodes, n = hashes[keep], nodes[keep], np.minimum(n[keep], 2**32 - 1).astype(np.uint32)
         order = np.argsort(hashes, kind="stable")
-        hashes, nodes = hashes[order], nodes[order]
+        hashes, nodes, n = hashes[order], nodes[order], n[order]
         part = (hashes >> shift).astype(np.int64)
-        out = [(int(part[a]), kernels.pack(hashes[a:b]), nodes[a:b].tobytes(), b"") for a, b in _slices(part)]
+        out = [(int(part[a]), kernels.pack(hashes[a:b]), nodes[a:b].tobytes(), n[a:b].tobytes()) for a, b in kernels.slices(part)]
         if out:
             yield _batch(out)
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles by hash range -> a star of links for each shingle that several prefixes hold."""
+    """Prefix shingles by hash range -> links that join the holders of each shingle.
+
+    Holders are chained in order of size, and a chain breaks where the next set is too large for the last: all
+    sets between two that may be similar lie close enough, too.
+    """
     for _, rows in _grouped(batches):
         hashes = np.concatenate([kernels.unpack(r[0]) for r in rows])
         nodes = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
-        order = np.lexsort((nodes, hashes))
-        hashes, nodes = hashes[order], nodes[order]
-        hub = nodes[np.searchsorted(hashes, hashes)]
-        pairs = np.unique(np.stack((nodes[nodes != hub], hub[nodes != hub]), 1), axis=0)
+        n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
+        order = np.lexsort((nodes, n, hashes))
+        hashes, nodes, n = hashes[order], nodes[order], n[order]
+        near = (hashes[1:] == hashes[:-1]) & (DEN * n[:-1] >= NUM * n[1:]) & (nodes[1:] != nodes[:-1])
+        pairs = np.unique(np.stack((nodes[1:][near], nodes[:-1][near]), 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -226,12 +247,12 @@ def link_tile(nodes: list[int], sets: list[np.ndarray], labels: list[int]) -> li
     return links
 
 
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterable[pa.RecordBatch], naming: Naming) -> Iterator[pa.RecordBatch]:
     """Rows (tile, node, label, text) sorted by tile -> links."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        sets = shingle_sets(pa.array([r[2] for r in rows], pa.string())) if len(rows) > 1 else ()
-        here = {node: (s, label) for (node, label, _), s in zip(rows, sets) if node_of(s) == node}
+        sets = naming.sets(pa.array([r[2] for r in rows], pa.string())) if len(rows) > 1 else ()
+        here = {node: (s, label) for (node, label, _), s in zip(rows, sets) if naming.node(s) == node}
         links = link_tile(list(here), [s for s, _ in here.values()], [x for _, x in here.values()])
         return pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -239,14 +260,14 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
-def candidate_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def candidate_groups(docs: DataFrame, classes: DataFrame, naming: Naming) -> DataFrame:
     """``node, root`` of nodes that may have a partner, from texts and their nodes."""
     ranges = 2 * range_count(docs, "text")
     groups = prime_below(ranges)
-    sent = docs.select("text").mapInArrow(lambda it: kernels.tidy(_prefixes(it, ranges)), PACKED_DDL)
+    sent = docs.select("text").mapInArrow(lambda it: kernels.tidy(_prefixes(it, naming, ranges)), PACKED_DDL)
     shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(_shared(it, groups)), PACKED_DDL)
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    sizes = nodes.where("n > 0").groupBy("node", "n", "inside").agg(F.lit(1)).select(
+    sizes = classes.select(
         F.pmod("node", F.lit(groups)).cast("int").alias("part"), F.concat(number(F.col("node")), number(F.col("n")), number(F.col("inside"))).alias("keys"),
         F.lit(None).cast("binary").alias("values"), F.lit(None).cast("binary").alias("counts"),
     )
@@ -256,37 +277,65 @@ def candidate_groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(links, "jaccard-candidates", thin=False)
 
 
-def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, name: str) -> DataFrame:
+def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, naming: Naming, name: str) -> DataFrame:
     """Verified links of the given tiles: ``members`` (node, ident, label, block, root), ``tiles`` (root, block, tile)."""
     placed = members.join(tiles.withColumnsRenamed({"root": "_r", "block": "_b"}), (F.col("root") == F.col("_r")) & (F.col("block") == F.col("_b")))
     wanted = placed.select(F.col("ident").alias("_i"), "tile", "node", "label")
     rows = docs.join(wanted, F.col("ident") == F.col("_i")).select("tile", "node", "label", "text")
-    return scratch(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: kernels.tidy(_verified(it)), "a bigint, b bigint"), f"jaccard-{name}")
+    return scratch(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: kernels.tidy(_verified(it, naming)), "a bigint, b bigint"), f"jaccard-{name}")
+
+
+def identified(docs: DataFrame, salt: int, bits: int) -> tuple[DataFrame, DataFrame, Naming]:
+    """``ident, n, node, inside`` of every document; ``node, ident, n, inside`` of every different set; and their naming.
+
+    Sets that share 64 bits of identity and differ in the next 64 are few and known: they take the latter for a name.
+    """
+    naming = Naming(salt, bits)
+    nodes = docs.mapInArrow(lambda it: kernels.tidy(_nodes(it, naming)), "ident bigint, n bigint, node bigint, twin bigint, inside bigint")
+    nodes = scratch(nodes, "jaccard-nodes")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        out = rows.where("n > 0").groupBy("node").agg(
+            F.min("ident").alias("ident"), F.min("n").alias("n"), F.min("inside").alias("inside"), F.min("twin").alias("_low"), F.max("twin").alias("_high"),
+        )
+        return scratch(out, "jaccard-sets")
+
+    classes = grouped(nodes)
+    clashes = frozenset(r.node for r in classes.where("_low <> _high").select("node").limit(CLASHES + 1).collect())
+    if len(clashes) > CLASHES:
+        raise RuntimeError("more equal identities of different sets than chance allows")
+    if clashes:
+        naming = Naming(salt, bits, clashes)
+        nodes = nodes.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("twin")).otherwise(F.col("node")))
+        classes = grouped(nodes)
+    return nodes.drop("twin"), classes.drop("_low", "_high"), naming
 
 
-def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text", salt: int | None = None, bits: int = 64) -> DataFrame:
     """One row per document: ``<ident>, n_shingles, component_id``.
 
     Two documents are linked at a Jaccard similarity of 0.75 or more of their distinct five-word shingles
     (fewer words: the whole sequence is one; none: linked with nothing); ``component_id`` is the smallest
     identifier reachable by links. Null texts have no words. Documents without an identifier take part
     through equal sets only and carry their component's smallest identifier, if it has one. Repeated rows
-    are equal sets. An empty table gives an empty result.
+    are equal sets. A very long text is one row of a task, hashed in pieces. Other columns, whatever their names,
+    are not read. An empty table gives an empty result. ``salt`` keys the hashes, by default drawn anew;
+    ``bits`` of identity name a set before sets of one name are told apart.
     """
     docs = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(text).alias("text"))
-    nodes = scratch(docs.mapInArrow(lambda it: kernels.tidy(_nodes(it)), "ident bigint, n bigint, node bigint, inside bigint"), "jaccard-nodes")
-    groups = candidate_groups(docs, nodes)
+    nodes, classes, naming = identified(docs, secrets.randbits(62) if salt is None else salt, bits)
+    groups = candidate_groups(docs, classes, naming)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    first = nodes.where("n > 0").groupBy("node").agg(F.min("ident").alias("ident"), F.min("n").alias("n"))
+    first = classes.drop("inside")
     members = members.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n").where("ident is not null")
     sizes = _size_places(members)
     members = scratch(_blocked(members, sizes).withColumn("label", F.col("node")), "jaccard-members")
     blocks = scratch(members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-blocks")
     diagonal = blocks.select("root", "block", F.xxhash64("root", "block").alias("tile"))
-    links = link(docs, members, diagonal, "tiles")
+    links = link(docs, members, diagonal, naming, "tiles")
     wide = scratch(blocks.groupBy("root").agg(F.max("block").alias("last")).where("last > 0"), "jaccard-wide")
     if wide.limit(1).count():
-        links = links.unionByName(_wide_links(docs, members, sizes, blocks, wide, links))
+        links = links.unionByName(_wide_links(docs, members, sizes, blocks, wide, links, naming))
     tree = components(links, "jaccard")
     roots = nodes.join(tree.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = scratch(roots.select("ident", "n", F.coalesce("root", "node").alias("class")), "jaccard-classes")
@@ -331,7 +380,7 @@ def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.withColumn("block", F.floor(place / TILE).cast("int")).drop("_r", "_s", "weight", "before", "total")
 
 
-def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame) -> DataFrame:
+def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: DataFrame, wide: DataFrame, links: DataFrame, naming: Naming) -> DataFrame:
     """Links between the tiles of groups that fill more than one."""
     big = broadcast_if_small(wide).withColumnRenamed("root", "_w")
     mine = members.join(big, F.col("root") == F.col("_w")).drop("_w", "last")
@@ -344,7 +393,7 @@ def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: D
     )
     near = scratch(near.select("root", "block", F.xxhash64(F.lit("hub"), "root", "block").alias("tile")), "jaccard-hub-tiles")
     guests = near.select(F.col("root").alias("_w"), F.col("block").alias("_k")).join(broadcast_if_small(hub), F.col("_w") == F.col("root")).select("node", "ident", "label", F.col("_k").alias("block"), "root")
-    found = link(docs, mine.select("node", "ident", "label", "block", "root").unionByName(guests), near, "hub")
+    found = link(docs, mine.select("node", "ident", "label", "block", "root").unionByName(guests), near, naming, "hub")
     tree = scratch(components(links.unionByName(found), "jaccard-hubs"), "jaccard-hub-tree")
     labelled = mine.drop("label").join(tree.withColumnsRenamed({"node": "_n", "root": "label"}), F.col("node") == F.col("_n"), "left")
     labelled = scratch(labelled.select("node", "ident", F.coalesce("label", "node").alias("label"), "block", "root", "n"), "jaccard-labels")
@@ -356,7 +405,7 @@ def _wide_links(docs: DataFrame, members: DataFrame, sizes: DataFrame, blocks: D
     pairs = scratch(pairs.select(F.col("l_root").alias("root"), F.col("l_block").alias("i"), F.col("r_block").alias("j")), "jaccard-pairs")
     tile = F.xxhash64("root", "i", "j").alias("tile")
     tiles = pairs.select("root", F.col("i").alias("block"), tile).unionByName(pairs.select("root", F.col("j").alias("block"), tile))
-    return found.unionByName(link(docs, labelled, tiles, "pairs"))
+    return found.unionByName(link(docs, labelled, tiles, naming, "pairs"))
 
 
 #: DuckDB SQL of the registered query (pairs by shared shingle, then reachability).

@@ -7,13 +7,20 @@ maximal removal intervals.
 What is shuffled are packed lists, not rows: a map task sorts its windows, keeps each hash once (with the
 least id of its documents, so a passage that many documents share is one entry a task) and sends each
 range as one blob of differences. The windows found repeated go back to their documents in the same form,
-as 48-bit hashes that are compared only with the windows of that one document. Texts move once.
+as 56-bit hashes that are compared only with the windows of that one document. Texts move once.
+
+Beyond ``COARSE`` ranges lists would become shorter than their rows, so they move in two exchanges: to coarse
+ranges, where lists of many tasks are merged, and from there to fine ones. A window costs the same bytes at every size.
+
+Windows count as equal by 88 bits: a polynomial modulo 2^61 - 1 and 27 bits of another, at bases drawn for the
+query. Among 10^13 windows (100 TB) about one in six runs would see a single false repeat.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import secrets
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +31,15 @@ from tidewater.llm import kernels
 from tidewater.llm.common import prime_below, range_count
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOW = np.uint64((1 << 48) - 1)
 _SIGN = np.uint64(1 << 63)
 
+#: Bytes that are compared besides the first 64 bits of a window, and bytes of a reply.
+CHECK, REPLY = 3, 7
+_CHECK, _REPLY = np.uint64((1 << 8 * CHECK) - 1), np.uint64((1 << 8 * REPLY) - 1)
+
+#: Ranges up to which one exchange does, and windows that are merged at a time between two.
+COARSE, MERGED = 4096, 2_000_000
+
 
 def ordered(ids: np.ndarray) -> np.ndarray:
     """Signed identifiers as unsigned ones in the same order."""
@@ -37,96 +50,129 @@ def signed(ids: np.ndarray) -> np.ndarray:
     return (ids ^ _SIGN).view(np.int64)
 
 
-def by_owner(owners: np.ndarray, hashes: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(group of documents, packed owners, low 48 bits of the hashes) for pairs of owner and hash."""
-    group = signed(owners) % groups
-    order = np.lexsort((owners, group))
-    group, owners, hashes = group[order], owners[order], hashes[order]
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(group)]):
-        if a < b:
-            low = hashes[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
-            yield int(group[a]), kernels.pack(owners[a:b]), low.tobytes()
+SENT = pa.schema([("part", pa.int32()), ("reply", pa.bool_()), ("hashes", pa.binary()), ("checks", pa.binary()), ("owners", pa.binary())])
+SENT_DDL = "part int, reply boolean, hashes binary, checks binary, owners binary"
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_pydict(dict(zip(SENT.names, map(list, zip(*rows)))), SENT)
+
+
+def _replies(owners: np.ndarray, hashes: np.ndarray, parts: int, groups: int) -> Iterator[tuple]:
+    """Rows of repeated windows by group of documents (modulo ``parts``): each owner once, with its number of windows."""
+    part = signed(owners) % groups % parts
+    order = np.lexsort((owners, part))
+    part, owners, hashes = part[order], owners[order], hashes[order]
+    for a, b in kernels.slices(part):
+        own, count = np.unique(owners[a:b], return_counts=True)
+        yield int(part[a]), True, kernels.cut_bytes(hashes[a:b], REPLY), count.astype(np.uint32).tobytes(), kernels.narrow(own)
 
 
-SENT = pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("table", pa.binary())])
-BACK = pa.schema([("grp", pa.int32()), ("owners", pa.binary()), ("low", pa.binary())])
+def _opened(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and low bits of a row of replies."""
+    return np.repeat(kernels.widen(row[4]), np.frombuffer(row[3], np.uint32)), kernels.uncut_bytes(row[2], REPLY)
 
 
-def _send(batches: Iterable[pa.RecordBatch], width: int, ranges: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Documents (id, text) -> hash ranges with least owners (grp null), and what is repeated among them."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+def _lists(hashes: np.ndarray, checks: np.ndarray, owners: np.ndarray, ranges: int) -> Iterator[tuple]:
+    """Rows of sorted windows by hash range."""
+    part = (hashes >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
+    for a, b in kernels.slices(part):
+        yield int(part[a]), False, kernels.pack(hashes[a:b]), kernels.cut_bytes(checks[a:b], CHECK), kernels.narrow(owners[a:b])
+
+
+def _once(hashes: np.ndarray, checks: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted windows, each once with its least owner; and owners and hashes of the others' windows."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, checks, owners = hashes[order], checks[order], owners[order]
+    same = hashes[1:] == hashes[:-1]
+    many = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(hashes) else np.zeros(0, bool)
+    h, c, o = hashes[many], checks[many], owners[many]
+    order = np.lexsort((o, c, h))
+    h, c, o = h[order], c[order], o[order]
+    hashes[many], checks[many], owners[many] = h, c, o  # the places of a hash stay together, and only their order changes
+    head = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1]))) if len(hashes) else np.zeros(0, bool)
+    least = owners[head][np.cumsum(head) - 1]
+    again = least != owners
+    return hashes[head], checks[head], owners[head], owners[again], hashes[again]
+
+
+def _send(batches: Iterable[pa.RecordBatch], salt: int, width: int, ranges: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Documents (id, text) -> lists of windows by hash range, and replies on what is repeated among them."""
+    made = kernels.hashing(salt)
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        table = ordered(ids[order])
-        found, owner = [], []
-        for first, words, bounds in kernels.word_hashes(batch.column(1).take(pa.array(order))):
-            hashes = kernels.windows(words, width)
+        ids = ordered(batch.column(0).to_numpy(zero_copy_only=False))
+        found = []
+        for first, words, bounds in made.words(batch.column(1)):
+            hashes, checks = made.windows(words, width)
             begin = np.arange(len(hashes))
             doc = np.searchsorted(bounds, begin, "right") - 1
             inside = begin + width <= bounds[doc + 1]
-            found.append(hashes[inside])
-            owner.append(first + doc[inside])
-        if not found:
-            continue
-        hashes, owner = np.concatenate(found), np.concatenate(owner)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
-        head = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
-        least = owner[head][np.cumsum(head) - 1]
-        again = table[owner] != table[least]
-        rows: dict[str, list] = {n: [] for n in SENT.names}
-        for grp, owners, low in by_owner(table[owner[again]], hashes[again], groups):
-            for n, v in zip(SENT.names, (grp, grp, low, owners, None)):
-                rows[n].append(v)
-        hashes, owner = hashes[head], owner[head]
-        kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-        packed = bytes([kind().itemsize]) + kernels.pack(table)
-        part = (hashes >> shift).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(part)]):
-            if a < b:
-                for n, v in zip(SENT.names, (int(part[a]), None, kernels.pack(hashes[a:b]), owner[a:b].astype(kind).tobytes(), packed)):
-                    rows[n].append(v)
-        yield pa.RecordBatch.from_pydict(rows, SENT)
-
-
-def _repeated(parts: list[tuple[np.ndarray, np.ndarray]], groups: int) -> Iterator[tuple[int, bytes, bytes]]:
-    if len(parts) < 2:
-        return
-    hashes, owners = (np.concatenate(x) for x in zip(*parts))
-    values, least, order = kernels.min_per_value(hashes, owners)
-    hashes, owners = hashes[order], owners[order]
-    again = least[np.searchsorted(values, hashes)] != owners
-    yield from by_owner(owners[again], hashes[again], groups)
-
-
-def _count(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by hash range -> blobs of repeated windows by group of documents."""
-    at, parts = -1, []
-
-    def out(rows: list) -> Iterator[pa.RecordBatch]:
-        if rows:
-            yield pa.RecordBatch.from_pydict(dict(zip(BACK.names, map(list, zip(*rows)))), BACK)
+            found.append((hashes[inside], checks[inside] & _CHECK, ids[first + doc[inside]]))
+        if found:
+            hashes, checks, owners, late, low = _once(*map(np.concatenate, zip(*found)))
+            yield from _rows([*_replies(late, low, parts, groups), *_lists(hashes, checks, owners, ranges)])
+
+
+def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
+    """Rows sorted by part -> (part, its lists, its replies), at most about ``MERGED`` windows at a time."""
+    at, lists, replies, held = None, [], [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != at or held > MERGED:
+                if lists or replies:
+                    yield at, lists, replies
+                at, lists, replies, held = row[0], [], [], 0
+            (replies if row[1] else lists).append(row)
+            held += len(row[2]) // (REPLY if row[1] else CHECK * 2)
+    if lists or replies:
+        yield at, lists, replies
+
+
+def _unpacked(lists: list[tuple]) -> tuple[np.ndarray, ...]:
+    sides = [(kernels.unpack(r[2]), kernels.uncut_bytes(r[3], CHECK), kernels.widen(r[4])) for r in lists]
+    return tuple(np.concatenate(x) for x in zip(*sides))
+
+
+def _refine(batches: Iterable[pa.RecordBatch], ranges: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Rows by coarse range or group -> merged lists by fine ranges, merged replies by groups modulo ``parts``."""
+    for _, lists, replies in _by_part(batches):
+        rows = []
+        if lists:
+            hashes, checks, owners, late, low = _once(*_unpacked(lists))
+            rows += [*_replies(late, low, parts, groups), *_lists(hashes, checks, owners, ranges)]
+        if replies:
+            owners, low = (np.concatenate(x) for x in zip(*map(_opened, replies)))
+            rows += _replies(owners, low, parts, groups)
+        yield from _rows(rows)
+
+
+def _count(batches: Iterable[pa.RecordBatch], parts: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Lists sorted by hash range -> replies on repeated windows. A range is held whole: its size is bounded by their number."""
+    at, lists = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(lists) > 1:
+            yield from _rows(list(_replies(*_once(*_unpacked(lists))[3:], parts, groups)))
 
     for batch in batches:
-        for part, grp, hashes, owners, table in zip(*(c.to_pylist() for c in batch.columns)):
-            if grp is not None:
-                yield from out([(grp, owners, hashes)])
+        rows = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[1]:
+                rows.append(row)
                 continue
-            if part != at:
-                yield from out(list(_repeated(parts, groups)))
-                at, parts = part, []
-            ids = kernels.unpack(table[1:])
-            parts.append((kernels.unpack(hashes), ids[np.frombuffer(owners, np.uint16 if table[0] == 2 else np.uint32)]))
-    yield from out(list(_repeated(parts, groups)))
+            if row[0] != at:
+                yield from done()
+                at, lists = row[0], []
+            lists.append(row)
+        yield from _rows(rows)
+    yield from done()
 
 
-def intervals(words: np.ndarray, width: int, low: np.ndarray) -> np.ndarray:
-    """Maximal removal intervals (start, end) of one document from the low bits of its repeated windows."""
-    at = np.flatnonzero(np.isin(kernels.windows(words, width) & _LOW, low))
+def intervals(windows: np.ndarray, width: int, low: np.ndarray) -> np.ndarray:
+    """Maximal removal intervals (start, end) of one document from its windows and the low bits of the repeated ones."""
+    at = np.flatnonzero(np.isin(windows & _REPLY, low))
     if not len(at):
         return np.zeros((0, 2), np.int64)
     gap = np.flatnonzero(at[1:] > at[:-1] + width)
@@ -139,23 +185,23 @@ CUT = pa.schema([
 ])
 
 
-def _cut(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of a group of documents, then its documents -> documents without the repeated passages."""
+def _cut(batches: Iterable[pa.RecordBatch], salt: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Replies of a group of documents, then its documents -> documents without the repeated passages."""
     at, owners, low, none = None, [], [], np.zeros(0, np.uint64)
+    made = kernels.hashing(salt)
     for batch in batches:
         rows = []
-        grps, kinds, idents, texts, blobs, lows = (batch.column(k) for k in range(6))
-        hashed = ((first + k, words[b[k] : b[k + 1]]) for first, words, b in kernels.word_hashes(texts) for k in range(len(b) - 1))
-        for grp, kind, ident, text, blob, bits, (_, words) in zip(
-            grps.to_pylist(), kinds.to_pylist(), idents.to_pylist(), texts.to_pylist(), blobs.to_pylist(), lows.to_pylist(), hashed, strict=True,
+        grps, kinds, idents, texts, *sides = batch.columns
+        hashed = ((first + k, words[b[k] : b[k + 1]]) for first, words, b in made.words(texts) for k in range(len(b) - 1))
+        for grp, kind, ident, text, *blobs, (_, words) in zip(
+            grps.to_pylist(), kinds.to_pylist(), idents.to_pylist(), texts.to_pylist(), *(x.to_pylist() for x in sides), hashed, strict=True,
         ):
             if grp != at:
                 at, owners, low = grp, [], []
             if kind == 0:
-                owners.append(kernels.unpack(blob))
-                wide = np.zeros((len(bits) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(bits, np.uint8).reshape(-1, 6)
-                low.append(wide.reshape(-1).view(np.uint64))
+                opened = _opened((None, None, *blobs))
+                owners.append(opened[0])
+                low.append(opened[1])
                 continue
             if isinstance(owners, list):
                 owners, low = (np.concatenate([none, *x]) for x in (owners, low))
@@ -166,7 +212,7 @@ def _cut(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 key = ordered(np.array([ident], np.int64))[0]
                 own = low[np.searchsorted(owners, key) : np.searchsorted(owners, key, "right")]
             said = _WORDS.findall(text or "")
-            spans = intervals(words, width, own) if len(own) else np.zeros((0, 2), np.int64)
+            spans = intervals(made.windows(words, width)[0], width, own) if len(own) else np.zeros((0, 2), np.int64)
             kept, last = [], 0
             for a, b in spans.tolist():
                 kept += said[last:a]
@@ -178,27 +224,43 @@ def _cut(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_pydict(dict(zip(CUT.names, map(list, zip(*rows)))), CUT)
 
 
-def cut_repeats(df: DataFrame, *, width: int = 50, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def _python(rows: DataFrame, make: Callable, schema: str) -> DataFrame:
+    return rows.mapInArrow(lambda it: kernels.tidy(make(it)), schema)
+
+
+def cut_repeats(df: DataFrame, *, width: int = 50, ident: str = "doc_id", text: str = "text", ranges: int | None = None, salt: int | None = None) -> DataFrame:
     """One row per document: ``<ident>, n_words, n_removed, removed`` (word intervals, end exclusive), ``kept``.
 
     A word goes if a window of ``width`` consecutive words that covers it also starts in a document of smaller
     id; windows are judged on the input. Null texts have no words; texts under ``width`` words lose none;
     documents without an id lose none and make none lose. Rows of one id are one document's parts: they
-    lose what smaller ids hold, not each other's. An empty table gives an empty result.
+    lose what smaller ids hold, not each other's. A very long text is one row of a task, hashed in pieces. Other columns,
+    whatever their names, are not read. An empty table gives an empty result.
+
+    ``ranges`` (a power of two) is the number of hash ranges, by default one to a few MB of text; ``salt`` keys the
+    hashes, by default drawn anew.
     """
+    salt = secrets.randbits(62) if salt is None else salt
     docs = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(text).alias("text"))
-    ranges = range_count(docs, "text")
-    groups = prime_below(ranges)
-    sent = docs.mapInArrow(lambda it: kernels.tidy(_send(it, width, ranges, groups)), "part int, grp int, hashes binary, owners binary, table binary")
-    sent = sent.repartition("part").sortWithinPartitions("part")
-    back = sent.mapInArrow(lambda it: kernels.tidy(_count(it, groups)), "grp int, owners binary, low binary")
+    ranges = ranges or range_count(docs, "text")
+    groups, parts, two = prime_below(ranges), min(ranges, COARSE), ranges > COARSE
+    sent = _dealt(_python(docs, lambda it: _send(it, salt, width, parts, parts if two else groups, groups), SENT_DDL))
+    if two:
+        sent = _dealt(_python(sent, lambda it: _refine(it, ranges, parts, groups), SENT_DDL))
+    back = _python(sent, lambda it: _count(it, parts if two else groups, groups), SENT_DDL)
+    if two:
+        back = _python(_dealt(back), lambda it: _refine(it, ranges, groups, groups), SENT_DDL)
     none = F.lit(None)
-    blobs = back.select("grp", F.lit(0).alias("kind"), none.cast("bigint").alias("ident"), none.cast("string").alias("text"), "owners", "low")
+    blobs = back.select(F.col("part").alias("grp"), F.lit(0).alias("kind"), none.cast("bigint").alias("ident"), none.cast("string").alias("text"), "hashes", "checks", "owners")
     grouped = docs.withColumn("grp", F.coalesce(F.pmod("ident", F.lit(groups)), F.lit(0)).cast("int"))
-    texts = grouped.select("grp", F.lit(1).alias("kind"), "ident", "text", none.cast("binary").alias("owners"), none.cast("binary").alias("low"))
+    texts = grouped.select("grp", F.lit(1).alias("kind"), "ident", "text", *[none.cast("binary").alias(c) for c in ("hashes", "checks", "owners")])
     both = blobs.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind")
     schema = "ident bigint, n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept string"
-    return both.mapInArrow(lambda it: kernels.tidy(_cut(it, width)), schema).withColumnRenamed("ident", ident)
+    return _python(both, lambda it: _cut(it, salt, width), schema).withColumnRenamed("ident", ident)
 
 
 #: DuckDB SQL of the registered query.
