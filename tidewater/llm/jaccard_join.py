@@ -12,8 +12,7 @@
 4. Groups beyond one tile are compared tile by tile with a hub first; tiles whose nodes all hang together by
    then are not paired at all, the others are paired within size bands. Nothing is capped.
 
-Shingles are compared by 64 bits (a polynomial modulo 2^61 - 1 and three bits of another, at bases drawn for the
-query), whole sets by 128 bits.
+Shingles are compared by 61 bits (a polynomial modulo 2^61 - 1 at a base drawn for the query), whole sets by 125 bits.
 """
 
 from __future__ import annotations
@@ -58,22 +57,24 @@ class Naming:
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The sorted distinct shingle hashes of each text (A-Z folded)."""
-        made = kernels.hashing(self.salt)
-        for _, words, bounds in made.words(texts, lower=True):
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                yield made.shingles(words[a:b], SHINGLE)
+        return kernels.hashing(self.salt).shingle_sets(texts, SHINGLE, lower=True)
 
     def node(self, shingles: np.ndarray) -> int:
         """64-bit identity of a set, the same whatever made it."""
-        node, twin = self.both(shingles)
-        return twin if node in self.clashes else node
+        once = kernels.mixed(shingles + np.uint64(len(shingles)))
+        node = self._digest(once) >> (64 - self.bits)
+        return self._twin(once) if node in self.clashes else node
 
     def both(self, shingles: np.ndarray) -> tuple[int, int]:
         """Two independent digests of a set, of ``bits`` and of 64 bits."""
         once = kernels.mixed(shingles + np.uint64(len(shingles)))
-        total = np.stack((once.sum(dtype=np.uint64), kernels.mixed(once ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
-        node, twin = kernels.mixed(total).view(np.int64).tolist()
-        return node >> (64 - self.bits), twin
+        return self._digest(once) >> (64 - self.bits), self._twin(once)
+
+    def _digest(self, once: np.ndarray) -> int:
+        return int(kernels.mixed(once.sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+
+    def _twin(self, once: np.ndarray) -> int:
+        return self._digest(kernels.mixed(once ^ np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _nodes(batches: Iterable[pa.RecordBatch], naming: Naming) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,8 @@ def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, naming: Naming,
     placed = members.join(tiles.withColumnsRenamed({"root": "_r", "block": "_b"}), (F.col("root") == F.col("_r")) & (F.col("block") == F.col("_b")))
     wanted = placed.select(F.col("ident").alias("_i"), "tile", "node", "label")
     rows = docs.join(wanted, F.col("ident") == F.col("_i")).select("tile", "node", "label", "text")
-    return scratch(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: kernels.tidy(_verified(it, naming)), "a bigint, b bigint"), f"jaccard-{name}")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiles are small in bytes and long in work: not to be coalesced
+    return scratch(rows.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(lambda it: kernels.tidy(_verified(it, naming)), "a bigint, b bigint"), f"jaccard-{name}")
 
 
 def identified(docs: DataFrame, salt: int, bits: int) -> tuple[DataFrame, DataFrame, Naming]:

@@ -9,8 +9,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at a time; a longer text is hashed alone.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time, so that arrays stay in a core's cache; a longer text is hashed alone. Powers kept.
+CHUNK, KEPT = 1 << 16, 1 << 20
 
 
 
@@ -87,7 +87,7 @@ class Rolling:
         got = self.held.get(sign, np.ones(1, np.uint64))
         while len(got) < n:
             got = np.concatenate((got, times(got, _U(pow(self.bases[sign], len(got), PRIME)))))
-        if len(got) <= 4 * CHUNK:
+        if len(got) <= KEPT:
             self.held[sign] = got
         return got[:n]
 
@@ -177,11 +177,19 @@ class Hashing:
         other = self.rolling[1].windows(reduced(mixed(words + _U(1))), width)
         return (one << _U(3)) | (other & _U(7)), other >> _U(3)
 
-    def shingles(self, words: np.ndarray, width: int = 5) -> np.ndarray:
-        """Sorted distinct hashes of a text's word runs; a shorter text is one run, no words give none."""
-        if len(words) >= width:
-            return np.unique(self.windows(words, width)[0])
-        return mixed(self.windows(words, len(words))[0] + _U(len(words))) if len(words) else words
+    def shingle_sets(self, texts: pa.Array, width: int = 5, *, lower: bool = False) -> Iterator[np.ndarray]:
+        """The sorted distinct 61-bit hashes, spread over 64 bits, of each text's word runs.
+
+        A text of fewer words is one run; no words give none.
+        """
+        for _, words, bounds in self.words(texts, lower=lower):
+            values = reduced(words)
+            runs = mixed(self.rolling[0].windows(values, width)) if len(words) >= width else words[:0]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if b - a >= width:
+                    yield np.unique(runs[a : b - width + 1])
+                else:
+                    yield mixed(self.rolling[0].windows(values[a:b], b - a) + _U(b - a)) if a < b else words[:0]
 
 
 @functools.lru_cache(4)
