@@ -117,12 +117,35 @@ def digest(chats: DataFrame) -> DataFrame:
 def as_events(rows: DataFrame) -> DataFrame:
     """Stored turns (``conv_id, turn, role, text``) as a log with one ``message`` event each.
 
-    Rows of one turn number stay separate messages, ordered by role and text.
+    Rows of one turn number, repeated rows included, stay separate messages, ordered by role and text. Other columns are
+    not read. A conversation is one row of a task, however long its texts; an empty table gives an empty log.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     return rows.select("conv_id", F.col("turn").alias("seq"), F.row_number().over(order).alias("msg"), F.lit("message").alias("kind"), "role", "text")
 
 
+def as_streamed_events(rows: DataFrame) -> DataFrame:
+    """Stored turns as a log of what may have led to them; folding it gives the turns back.
+
+    By a hash of conversation and turn, a turn is streamed in two parts, or a draft that is regenerated as a stream, or
+    a first part that an edit replaces. Turns without a number or a text, and numbers that leave no room for the
+    order of such events, are one ``message`` event.
+    """
+    event = lambda k, kind, text: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    way = F.when(F.col("seq").between(-(2**60), 2**60) & text.isNotNull(), F.pmod(F.xxhash64("conv_id", "seq"), F.lit(3)))
+    events = (
+        F.when(way == 0, F.array(event(0, "message", first), event(1, "delta", second)))
+        .when(way == 1, F.array(event(0, "message", F.concat(F.lit("draft "), first)), event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", first), event(3, "delta", second)))
+        .when(way == 2, F.array(event(0, "message", first), event(1, "edit", text)))
+        .otherwise(F.array(event(0, "message", text)))
+    )
+    seq = F.when(way.isNotNull(), F.col("seq") * 4 + F.col("e.k")).otherwise(F.when(F.col("seq").between(-(2**60), 2**60), F.col("seq") * 4).otherwise(F.col("seq")))
+    told = as_events(rows).select("*", F.explode(events).alias("e"))
+    return told.select("conv_id", seq.alias("seq"), "msg", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+
+
 #: DuckDB SQL of the registered query.
 ORACLE = r"""
 WITH c AS (

@@ -1,16 +1,19 @@
 """Format-preserving pseudonyms for personal data.
 
-Numbers and dates are found by pattern, validated (Luhn digit, octet ranges, calendar, number plans) and
-replaced by the output of a keyed Feistel network over their own format: a valid card number becomes
+Numbers and dates are found by pattern, validated (Luhn digit, IBAN check digits, octet ranges, calendar, number
+plans) and replaced by the output of a keyed Feistel network over their own format: a valid card number becomes
 another valid card number, a date another date. The permutation depends on nothing but key and value, so
-equal values stay linked across documents and different values stay different. E-mail names and secrets
-are permuted character by character within their character classes, over their whole length.
+equal values stay linked across documents and different values of one format stay different. E-mail names and
+secrets are permuted character by character within their character classes, over their whole length; what
+follows a secret's mark is a secret, whatever else it looks like.
 
 Everything is a DataFrame expression: one scan, no shuffle, no Python on executors.
 """
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +24,27 @@ ROUNDS = 10
 #: What each kind looks like. Order matters: the first that matches wins.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))[A-Za-z0-9_+/-]{8,}+",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|secret|token|api_key)(?:=|: | = ?| = ?\"|=\"))(?:[A-Za-z0-9_+/-]|\.(?=[A-Za-z0-9_+/-])){8,}+",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w|[.-]\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w.,:/+-]|\d )\d{3} \d{2} \d{4}(?![\w-]| \d|[.,]\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w|[.-]\d)|(?<![\w.,:/+=#-]|\d )[2-9]\d{2}[2-9]\d{6}(?!\w|[.,:/-]\w| \d)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
 }
-PATTERN = "|".join(KINDS.values())
+#: Group 1 takes part in a match where a secret was found.
+PATTERN = "|".join(f"({x})" if kind == "secret" else x for kind, x in KINDS.items())
 
-#: A text without any of these has nothing to find.
-HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"
+#: A text without any of these has nothing to find, and without the latter no secret.
+MARKS = r"AKIA|(?i:password|passwd|secret|token|api_key)"
+HINT = r"[0-9@]|" + MARKS
 
-#: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
+#: 1900-01-01 to 2099-12-31 are 17 * 4297 days; 7 * 7 of them are leap days.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 
+#: Days of a common year that are read month first only, as they are spelled.
+LATE_DAYS = [f"{m:02}/{d:02}" for m in range(1, 13) for d in range(13, monthrange(1900 + 1, m)[1] + 1)]
+
 
 def let(value: Column, then) -> Column:
     """``then(value)`` with the value worked out once, however often ``then`` uses it."""
@@ -139,9 +148,10 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO dates, and day-first dates with slashes or dots (month-first where day-first is no date)."""
-    out = m
-    shapes = {"MM/dd/yyyy": r"^\d\d/", "dd.MM.yyyy": r"^\d\d\.", "dd/MM/yyyy": r"^\d\d/", "yyyy-MM-dd": r"^\d{4}-"}
+    """ISO dates, and day-first dates with slashes or dots: one permutation of the calendar. Slashed spellings that are a
+    date month first only are permuted among themselves, so that no two spellings meet."""
+    out = _late_date(m, key)
+    shapes = {"dd.MM.yyyy": r"^\d\d\.", "dd/MM/yyyy": r"^\d\d/", "yyyy-MM-dd": r"^\d{4}-"}
     for pattern, shape in shapes.items():
         day = F.datediff(F.try_to_date(m, pattern), F.lit(FIRST_DAY).cast("date"))
         ok = m.rlike(shape) & (day >= 0) & (day < DAY_PARTS[0] * DAY_PARTS[1])
@@ -151,8 +161,41 @@ def _date(m: Column, key: str) -> Column:
     return out
 
 
+def _late_date(m: Column, key: str) -> Column:
+    """Month-first dates whose day is no month: common ones by (year, day), leap days among leap days."""
+    days = F.array(*[F.lit(d) for d in LATE_DAYS])
+    year, spelled = F.try_element_at(F.split(m, "/"), F.lit(3)).try_cast("int"), F.substring(m, 1, 5)
+    ok = m.rlike(r"^\d\d/\d\d/\d{4}$") & year.between(1900, 2099) & F.try_to_date(m, "MM/dd/yyyy").isNotNull()
+    common = feistel_pair(year - 1900, F.array_position(days, spelled) - 1, 200, len(LATE_DAYS), key, "late")
+    made = let(common, lambda q: F.concat(F.get(days, q["b"].cast("int")), F.lit("/"), (q["a"] + 1900).cast("string")))
+    leap = feistel_pair(F.floor((year - 1904) / 28), F.floor((year - 1904) / 4) % 7, 7, 7, key, "leap")
+    leaped = let(leap, lambda q: F.concat(F.lit("02/29/"), (1904 + 28 * q["a"] + 4 * q["b"]).cast("string")))
+    return F.when(ok & (spelled == "02/29"), leaped).when(ok & F.array_contains(days, spelled), made).otherwise(m)
+
+
+def _iban_rest(text: Column) -> Column:
+    """The number that letters (A is 10) and digits spell, modulo 97."""
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 65, (a * 10 + code - 48) % 97).otherwise((a * 100 + code - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and shape stay, the account is permuted, and the check digits follow."""
+    def new(v: Column) -> Column:
+        account, country = F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 2)
+        check = F.substring(v, 3, 2).cast("int")
+        ok = (_iban_rest(F.concat(account, F.substring(v, 1, 4))) == 1) & check.between(2, 98)
+        made = let(feistel_text(account, key, "iban"), lambda x: F.concat(country, F.lpad((98 - _iban_rest(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
+        return F.when(ok, _refill(m, made, "A-Z0-9")).otherwise(m)
+
+    return let(F.regexp_replace(m, " ", ""), new)
+
+
 def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.get(F.split(m, "-"), F.lit(k)).cast("int") for k in range(3))
+    area, group, serial = (F.get(F.split(m, "[- ]"), F.lit(k)).try_cast("int") for k in range(3))
     ok = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     index = F.when(area > 666, area - 2).otherwise(area - 1)
     p = feistel_pair(index * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
@@ -160,9 +203,9 @@ def _ssn(m: Column, key: str) -> Column:
     def show(q: Column) -> Column:
         a = F.floor(q["a"] / 99)
         area_of = F.when(a >= 665, a + 2).otherwise(a + 1)
-        return F.concat_ws("-", F.lpad(area_of.cast("string"), 3, "0"), F.lpad((q["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((q["b"] + 1).cast("string"), 4, "0"))
+        return F.concat(F.lpad(area_of.cast("string"), 3, "0"), F.lpad((q["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((q["b"] + 1).cast("string"), 4, "0"))
 
-    return F.when(ok, let(p, show)).otherwise(m)
+    return F.when(ok, let(let(p, show), lambda x: _refill(m, x, "0-9"))).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -198,36 +241,40 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(head, _refill(rest, feistel_text(slots, key, "secret"), "A-Za-z0-9"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """Pseudonym of one matched value, or the value itself where it is not valid."""
+def pseudonym(m: Column, secret: Column, key: str) -> Column:
+    """Pseudonym of one matched value, or the value itself where it is not valid. ``secret``: it was found as one."""
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     return (
-        F.when(m.contains("@"), _email(m, key)).when(whole("date"), _date(m, key)).when(whole("ip"), _ip(m, key))
-        .when(whole("ssn"), _ssn(m, key)).when(whole("phone"), _phone(m, key)).when(whole("card"), _card(m, key))
-        .otherwise(_secret(m, key))
+        F.when(secret, _secret(m, key)).when(m.contains("@"), _email(m, key)).when(whole("iban"), _iban(m, key)).when(whole("date"), _date(m, key))
+        .when(whole("ip"), _ip(m, key)).when(whole("ssn"), _ssn(m, key)).when(whole("phone"), _phone(m, key)).otherwise(_card(m, key))
     )
 
 
-def pseudonymise(df: DataFrame, *, key: str = "0", text: str = "text", found: str = "n_found", replaced: str = "n_replaced") -> DataFrame:
+def pseudonymise(df: DataFrame, *, key: str, text: str = "text", found: str = "n_found", replaced: str = "n_replaced") -> DataFrame:
     """Replace personal data in ``text``; append how many values were found and how many replaced.
 
-    Invalid look-alikes (a card number with a wrong check digit, 2023-02-31) stay as they are. Null texts stay
-    null with counts 0, empty ones empty; texts without a digit, an at sign or a secret's mark pass unread.
-    Rows are kept one to one; columns named like the counts are replaced. Slashed dates are read day first,
-    month first only where that is no date.
+    Whoever holds ``key`` can tell which pseudonym belongs to a value: it is the caller's to keep.
+    Invalid look-alikes (a card number with a wrong check digit, 2023-02-31) stay as they are, but not where they
+    are secrets. Null texts stay null with counts 0, empty ones empty; texts without a digit, an at sign or a secret's
+    mark pass unread; very long texts are one row like any other. Rows are kept one to one, repeated ones alike;
+    columns named like the counts are replaced, all others stay, whatever their names. Slashed dates are read day
+    first, month first only where that is no date. An empty table gives an empty result.
     """
     old, new, gaps = (fresh(df, n) for n in ("pii_old", "pii_new", "pii_gaps"))
     hit = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    none = F.array().cast("array<string>")
-    out = df.withColumn(old, F.when(hit, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(none))
+    none = F.array().cast("array<struct<m:string,s:boolean>>")
+    values = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
+    told = F.when(F.col(text).rlike(MARKS), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(1)))
+    matches = let(F.struct(values.alias("v"), told.alias("t")), lambda b: F.transform(b["v"], lambda m, k: F.struct(m.alias("m"), F.coalesce(F.get(b["t"], k) != "", F.lit(False)).alias("s"))))
+    out = df.withColumn(old, F.when(hit, matches).otherwise(none))
     some = F.size(F.col(old)) > 0
     out = out.withColumns({
-        new: F.when(some, F.transform(F.col(old), lambda m: pseudonym(m, key))).otherwise(none),
-        gaps: F.when(some, F.split(F.col(text), PATTERN, -1)).otherwise(none),
+        new: F.when(some, F.transform(F.col(old), lambda x: pseudonym(x["m"], x["s"], key))).otherwise(F.array().cast("array<string>")),
+        gaps: F.when(some, F.split(F.col(text), PATTERN, -1)).otherwise(F.array().cast("array<string>")),
     })
     n, g = F.col(new), F.col(gaps)
     pieces = F.transform(g, lambda x, k: F.concat(x, F.coalesce(F.get(n, k), F.lit(""))))
-    changed = F.zip_with(F.col(old), n, lambda a, b: (a != b).cast("int"))
+    changed = F.zip_with(F.col(old), n, lambda a, b: (a["m"] != b).cast("int"))
     out = out.withColumns({
         text: F.when(some, F.array_join(pieces, "")).otherwise(F.col(text)),
         found: F.size(F.col(old)).cast("bigint"),

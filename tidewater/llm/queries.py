@@ -37,14 +37,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(r"SELECT -7L conv_id, turn, role, :said text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", {"said": said})
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest(chat.render(chat.fold(chat.as_events(rows))))
+    return chat.digest(chat.render(chat.fold(chat.as_streamed_events(rows))))
+
+
+#: The setting that holds the key of the pseudonyms, and the key of sessions without one: no secret, for trials only.
+KEY_SETTING, TRIAL_KEY = "spark.tidewater.pseudonyms.key", "corpus-2024"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, key="corpus-2024")
+    return pii.pseudonymise(docs, key=pseudonym_key(spark))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
