@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bpe_codec, jaccard_join, mixing, pii, quality
 from tidewater.llm.common import scratch
-from tidewater.llm.queries import table, vocabulary
-
-#: Key of the pseudonyms.
-KEY = "corpus-2024"
+from tidewater.llm.queries import pseudonym_key, table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; ``n_chars`` follows the text."""
-    out = pii.pseudonymise(docs, key=KEY).select(*docs.columns)
+    out = pii.pseudonymise(docs, key=pseudonym_key(spark)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
