@@ -197,6 +197,31 @@ def test_mixed_rows_repeat_what_is_taken(docs, empty):
     assert mixing.mixed_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("quality", [1.0, 0.001, 1e6])
+@pytest.mark.parametrize("rows", [5, 100_000])
+def test_edges_are_cut_until_they_are_small(spark, monkeypatch, quality, rows):
+    """Whatever the quality, few documents are sorted; the same documents as by one sort of all."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", rows)
+    monkeypatch.setattr(mixing, "PARTS", 8)
+    keyed = mixing.measured(
+        spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text")),
+        ident="id", source="source", text="text", quality=F.lit(quality), seed=1,
+    )
+    kept = []
+    edges = mixing._edges
+    monkeypatch.setattr(mixing, "_edges", lambda *a: kept.append(edges(*a)) or kept[-1])
+    plan = mixing.allocate(keyed, (3, 1), 0.9, 2.0)
+    assert kept[0].agg(F.max("rows")).first()[0] < 200 and (rows > 10 or kept[-1].agg(F.max("rows")).first()[0] <= rows)
+    target = {r.source: (r.target, r.epochs, r.source_size) for r in plan.collect()}
+    want: dict = {}
+    for source, (goal, epochs, size) in target.items():
+        left = goal - epochs * size
+        for r in sorted((r for r in keyed.collect() if r.source == source), key=lambda r: r.key):
+            want[r.ident] = epochs + (left - r.size / 2 >= 0)
+            left -= r.size
+    assert {r.ident: r.copies for r in mixing.copies(keyed, plan).collect()} == want
+
+
 def test_quality_steers_the_fraction(spark):
     df = spark.createDataFrame([(k, "w " * 10, "s", 1.0 if k % 2 else 0.01) for k in range(400)], "doc_id long, text string, source string, q double")
     rows = mixing.mix(df, share=0.5, quality=F.col("q")).collect()

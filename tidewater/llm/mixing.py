@@ -5,9 +5,10 @@ A source takes its documents whole: complete epochs first, then a fraction chose
 sampling - exponential keys scaled by document quality, sorted within the source and prefix-summed up to
 the rest of the budget.
 
-No source is ever sorted in one task. Keys fall into fixed ranges; sums per (source, range) find the one
-range in which the budget ends, and only that range's rows are sorted. What follows for every document is
-a comparison with a few numbers of its source, so texts are never shuffled.
+No source is ever sorted in one task. Keys fall into ranges of equal ratio, as in a quantile sketch, so that ranges
+fit keys of any quality; sums per (source, range) find the one range in which the budget ends. That range is cut
+again, between its least and largest key, until it holds few documents, and only they are sorted. What follows for every
+document is a comparison with two numbers of its source, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 
 from tidewater.llm.common import WORD, broadcast_if_small, fresh, scratch
 
-#: Ranges of the sampling key per source.
-RANGES = 1024
+#: Ranges of the sampling key to a doubling, parts a range is cut into, documents of a source that may be sorted in a task.
+RANGES, PARTS, EDGE_ROWS = 32, 1024, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -67,67 +68,73 @@ def targets(sizes: DataFrame, weights: Sequence[float] | DataFrame, share: float
     return out.withColumn("target", F.when(F.col("weight") > 0, filled).otherwise(0.0)).drop("_cap", "_level", "weight")
 
 
+def _edges(sums: DataFrame, goals: DataFrame) -> DataFrame:
+    """The range of each source in which its budget ends: ``source, low, high, rows`` and what is ``left`` of the budget there.
+
+    ``sums``: ``source, part, words, rows, low, high`` of every range; ``goals``: ``source, left``.
+    """
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # bounded ranges, not documents
+    summed = sums.withColumn("_end", F.sum("words").over(upto)).withColumnRenamed("source", "_s")
+    found = broadcast_if_small(goals).join(summed, F.col("source").eqNullSafe(F.col("_s")))
+    before = F.col("_end") - F.col("words")
+    found = found.where((before <= F.col("left")) & (F.col("left") < F.col("_end")) & (F.col("left") > 0))
+    return scratch(found.select("source", "low", "high", "rows", (F.col("left") - before).alias("left")), "mix-edges")
+
+
+def _summed(keyed: DataFrame, part: Column) -> DataFrame:
+    sums = [F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")]
+    return scratch(keyed.groupBy("source", part.alias("part")).agg(*sums), "mix-ranges")
+
+
 def allocate(keyed: DataFrame, weights: Sequence[float] | DataFrame, share: float, cap: float) -> DataFrame:
     """``source, size, key`` of every document -> one row per source.
 
-    Columns: ``source, source_size, target, epochs, edge`` (range in which the budget ends) and ``cutoff``
-    (largest key taken within that range; null: none).
+    Columns: ``source, source_size, target, epochs``, ``low`` (keys below it are taken once more; null: none)
+    and ``cutoff`` (so is the largest key up to this one; null: none).
     """
-    per_range = scratch(
-        keyed.withColumn("edge", key_range(F.col("key"))).groupBy("source", "edge").agg(F.sum("size").alias("words")),
-        "mix-ranges",
-    )
-    sizes = per_range.groupBy("source").agg(F.sum("words").alias("source_size"))
+    ranges = _summed(keyed, F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * RANGES).cast("int"))
+    sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, share, cap)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     goal = goal.withColumn("epochs", whole.cast("bigint"))
-    goal = scratch(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-goals")
-
-    upto = Window.partitionBy("source").orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
-    summed = per_range.withColumn("_end", F.sum("words").over(upto)).withColumnRenamed("source", "_s")
-    edge = (
-        broadcast_if_small(goal).join(summed, F.col("source").eqNullSafe(F.col("_s")))
-        .where((F.col("_end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("_end")) & (F.col("rest") > 0))
-        .select("source", "edge", (F.col("rest") - (F.col("_end") - F.col("words"))).alias("left"))
-    )
-    edge = scratch(edge, "mix-edges")
-    small = broadcast_if_small(edge).withColumnsRenamed({"source": "_s", "edge": "_e"})
-    inside = (
-        keyed.withColumn("edge", key_range(F.col("key")))
-        .join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("edge") == F.col("_e")))
-        .groupBy("source", "edge", "left", "key").agg(F.sum("size").alias("words"))
-    )
-    running = F.sum("words").over(Window.partitionBy("source", "edge").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    goal = scratch(goal.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-goals")
+    edge = _edges(ranges, goal.select("source", "left"))
+
+    def inside() -> DataFrame:
+        small = broadcast_if_small(edge).select(F.col("source").alias("_s"), F.col("low").alias("_low"), F.col("high").alias("_high"), "left")
+        return keyed.join(small, F.col("source").eqNullSafe(F.col("_s")) & F.col("key").between(F.col("_low"), F.col("_high")))
+
+    while edge.where((F.col("rows") > EDGE_ROWS) & (F.col("low") < F.col("high"))).limit(1).count():
+        place = F.try_divide(F.col("key") - F.col("_low"), F.col("_high") - F.col("_low"))
+        part = F.coalesce(F.least(F.floor(place * PARTS), F.lit(PARTS - 1)), F.lit(0)).cast("int")
+        edge = _edges(_summed(inside(), part), edge.select("source", "left"))
+    sums = inside().groupBy("source", "left", "key").agg(F.sum("size").alias("words"))
+    running = F.sum("words").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     cutoff = (
-        inside.withColumn("_middle", running - F.col("words") / 2.0).where(F.col("_middle") <= F.col("left"))
+        sums.withColumn("_middle", running - F.col("words") / 2.0).where(F.col("_middle") <= F.col("left"))
         .groupBy(F.col("source").alias("_s")).agg(F.max("key").alias("cutoff"))
     )
-    ends = edge.select(F.col("source").alias("_t"), "edge")
-    out = goal.drop("rest").join(ends, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
+    ends = edge.select(F.col("source").alias("_t"), "low")
+    out = goal.drop("left").join(ends, F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
     return scratch(out.join(cutoff, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
 
 
-def key_range(key: Column) -> Column:
-    """Range of a key: equal shares for weight 1, in key order for every weight."""
-    return F.least(F.lit(RANGES - 1), F.floor((F.lit(1.0) - F.exp(-key)) * RANGES)).cast("int")
-
-
 def copies(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     """Append ``source_size``, ``target`` and ``copies`` (times the document is taken) to keyed documents."""
     small = broadcast_if_small(plan).withColumnRenamed("source", "_s")
-    at = key_range(F.col("key"))
-    last = (at < F.col("edge")) | ((at == F.col("edge")) & (F.col("key") <= F.col("cutoff")))
+    last = (F.col("key") < F.col("low")) | F.coalesce(F.col("key") <= F.col("cutoff"), F.lit(False))
     extra = F.coalesce(last, F.lit(False)).cast("bigint")
     out = keyed.join(small, F.col("source").eqNullSafe(F.col("_s")))
-    return out.withColumn("copies", F.col("epochs") + extra).drop("_s", "edge", "cutoff", "epochs")
+    return out.withColumn("copies", F.col("epochs") + extra).drop("_s", "low", "cutoff", "epochs")
 
 
-def measured(df: DataFrame, *, ident: str, source: str, text: str, quality: Column | None, seed: int) -> DataFrame:
-    """``ident, source, size, key`` of every row."""
+def measured(df: DataFrame, *held: Column, ident: str, source: str, text: str, quality: Column | None, seed: int) -> DataFrame:
+    """``ident, source, size, key`` of every row, and what is ``held`` besides; stored."""
     size = word_count(F.col(text))
-    out = df.select(F.col(ident).alias("ident"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("_c"), *([quality.alias("_q")] if quality is not None else []))
-    given = F.coalesce(F.when(F.col("_q") > 0, F.col("_q").cast("double")), F.lit(1e-9)) if quality is not None else quality_weight(F.col("_c"), F.col("size"))
-    return out.select("ident", "source", "size", sampling_key(F.col("ident"), given, seed).alias("key"))
+    out = df.select(*held, F.col(ident).alias("ident"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("_c"), *([quality.alias("_q")] if quality is not None else []))
+    good = F.col("_q").cast("double") if quality is not None else None
+    given = F.when((good > 0) & ~F.isnan(good), good).otherwise(F.lit(1e-9)) if quality is not None else quality_weight(F.col("_c"), F.col("size"))
+    return scratch(out.select(*["held"] * len(held), "ident", "source", "size", sampling_key(F.col("ident"), given, seed).alias("key")), "mix-keys")
 
 
 def mix(
@@ -139,10 +146,10 @@ def mix(
     ``size`` counts words (null text: 0); ``taken`` is ``size`` times the copies in the mix. A document at the
     end of the budget is taken when at least half of it fits. Null sources form a source of their own;
     null identifiers draw one common key; rows of equal key (repeated rows) are taken or left together. A
-    quality that is null or not positive counts as 1e-9: such rows come last. An empty table gives an
-    empty result.
+    quality that is null, NaN or not positive counts as 1e-9: such rows come last. A very long text is a row like any
+    other; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    keyed = scratch(measured(df, ident=ident, source=source, text=text, quality=quality, seed=seed), "mix-keys")
+    keyed = measured(df, ident=ident, source=source, text=text, quality=quality, seed=seed)
     out = copies(keyed, allocate(keyed, weights, share, cap))
     return out.select(F.col("ident").alias(ident), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -153,23 +160,13 @@ def mixed_rows(
 ) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken (0 to ``cap`` times).
 
-    Documents without words are taken by the same rule. Columns stay as they are.
+    Documents without words are taken by the same rule. Columns stay as they are, whatever their names: rows are stored
+    once beside their keys, so that words are counted once.
     """
-    keyed = scratch(measured(df, ident=ident, source=source, text=text, quality=quality, seed=seed), "mix-keys")
-    plan = allocate(keyed, weights, share, cap)
-    names = {n: fresh(df, n) for n in ("mix_words", "mix_key", "mix_source", "mix_edge", "mix_cutoff", "mix_epochs", "mix_copies")}
-    words = names["mix_words"]
-    given = F.coalesce(F.when(quality > 0, quality.cast("double")), F.lit(1e-9)) if quality is not None else quality_weight(F.coalesce(F.length(text), F.lit(0)), F.col(words))
-    rows = df.withColumn(words, word_count(F.col(text)))
-    rows = rows.withColumn(names["mix_key"], sampling_key(F.col(ident), given, seed))
-    small = broadcast_if_small(plan).select(*[F.col(a).alias(names[b]) for a, b in (("source", "mix_source"), ("edge", "mix_edge"), ("cutoff", "mix_cutoff"), ("epochs", "mix_epochs"))])
-    at, key = key_range(F.col(names["mix_key"])), F.col(names["mix_key"])
-    last = (at < F.col(names["mix_edge"])) | ((at == F.col(names["mix_edge"])) & (key <= F.col(names["mix_cutoff"])))
-    joined = rows.join(small, F.col(source).eqNullSafe(F.col(names["mix_source"])))
-    times = F.col(names["mix_epochs"]) + F.coalesce(last, F.lit(False)).cast("bigint")
-    out = joined.withColumn(names["mix_copies"], times).where(F.col(names["mix_copies"]) > 0)
-    repeated = out.withColumn(names["mix_copies"], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(names["mix_copies"]))))
-    return repeated.select(*df.columns)
+    held = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("held")
+    keyed = measured(df, held, ident=ident, source=source, text=text, quality=quality, seed=seed)
+    out = copies(keyed, allocate(keyed.drop("held"), weights, share, cap)).where("copies > 0")
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("held.*")
 
 
 #: DuckDB SQL of ``mix`` with the default parameters.
