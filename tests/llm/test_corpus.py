@@ -745,6 +745,30 @@ def test_vector_dedup_completes_crowds(spark, noise):
     assert got == want
 
 
+def test_vector_dedup_keeps_double_precision(spark):
+    at = lambda c: [c, (1 - c * c) ** 0.5, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0]), (2, at(0.9 + 1e-12)), (3, [0.0, 0.0, 1.0]), (4, [0.9 - 1e-12, 0.0, -((1 - (0.9 - 1e-12) ** 2) ** 0.5)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("own")).withColumn("dim", F.lit(1))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
+
+
+def test_vector_dedup_finds_lone_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(0)
+    y, z = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(2000, 64)) for _ in range(2)))
+    z = z - (z * y).sum(1)[:, None] * y
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    x = np.concatenate((y, 0.902 * y + (1 - 0.902**2) ** 0.5 * z)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {r.vec_id: r.component_id for r in vector_dedup.near_duplicates(df).collect()}
+    assert sum(got[k] == got[k + 2000] == k for k in range(2000)) >= 0.98 * 2000
+
+
+def test_passes_follow_the_number_of_vectors():
+    needed = [vector_dedup.passes_needed(10**k, 0.9) for k in range(11)]
+    assert needed == sorted(needed) and needed[0] == 12 and needed[10] < 1000
+
+
 # --- 10: Jaccard --------------------------------------------------------------------------------------------------------------
 
 
