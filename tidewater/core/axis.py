@@ -12,6 +12,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tidewater.core.columns import value
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError
+from tidewater.core.shared import scratch
 
 
 #: Rows to a block of a series without keys, unless the axis says otherwise.
@@ -63,14 +64,16 @@ ROW, BLOCK = "__row", "__block"
 def numbered(df: DataFrame, axis: Axis) -> DataFrame:
     """Append ``__row``: the position from 0 within each series.
 
-    With blocks the position is found without one global window: rows are range-partitioned and sorted once, and each
-    partition's offset is the number of rows before it. The sorted rows stay cached (``spark.catalog.clearCache()``).
+    With blocks the position is found without one global window: rows are range-partitioned, sorted and stored once in the
+    shared folder, and each partition's offset is the number of rows before it. Ranges come from a sample, so what
+    is stored, not what a lost executor would sample again, says which row is where.
     """
     axis.check(df)
     if axis.blocks is None:
         return df.withColumn(ROW, (F.row_number().over(axis.window()) - 1).cast("bigint"))
     ordered = df.repartitionByRange(*axis.order()).sortWithinPartitions(*axis.order())
-    ordered = ordered.withColumn("__at", F.monotonically_increasing_id()).persist()  # ranges are sampled: fix them
+    ordered = ordered.withColumn("__at", F.monotonically_increasing_id())
+    ordered = scratch(ordered, "rows")
     part = F.shiftright("__at", 33)
     counts = dict(ordered.groupBy(part.alias("part")).count().collect())  # one number for each partition
     before, offset = 0, []

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from tidewater.core.columns import check_frame, resolve
 from tidewater.core.errors import ConfigurationError, NotFittedError
+from tidewater.core.shared import scratch
 
 
 class Step(ABC):
@@ -85,10 +86,12 @@ def configurable(cls: type[Step]) -> type[Step]:
 class Pipeline:
     """Steps in a row. Items are steps (named by class and position) or (name, step) pairs.
 
-    The input is cached while several steps learn from it, since each runs its prefix of the plan.
+    Each step that learns runs the plan of the steps before it; ``store`` writes what every learning step but the first
+    reads to the shared folder once, so that ``fit_transform`` of k steps does not run its first one k times.
     """
 
-    def __init__(self, steps: Sequence[Step | tuple[str, Step]]):
+    def __init__(self, steps: Sequence[Step | tuple[str, Step]], *, store: bool = False):
+        self.store = store
         if not isinstance(steps, Iterable):
             raise ConfigurationError("a pipeline takes a sequence of steps")
         self.steps: list[tuple[str, Step]] = []
@@ -114,8 +117,10 @@ class Pipeline:
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         out = check_frame(df)
-        for _, step in self.steps:
+        for k, (name, step) in enumerate(self.steps):
             out = step.fit_transform(out)
+            if self.store and k < len(self.steps) - 1:
+                out = scratch(out, f"after-{name}")
         self.fitted_ = True
         return out
 
@@ -137,7 +142,7 @@ class Pipeline:
 
     def __getitem__(self, key: int | str | slice) -> Step | Pipeline:
         if isinstance(key, slice):
-            return Pipeline(self.steps[key])
+            return Pipeline(self.steps[key], store=self.store)
         if isinstance(key, str):
             return self.named_steps[key]
         if isinstance(key, int):

@@ -55,12 +55,12 @@ def expressions() -> dict[str, Column]:
 
 
 def regression_metrics(
-    df: DataFrame, observed: str, predicted: str, *, metrics: Sequence[str] | None = None, by: Sequence[str] = (), distributed: bool = False,
+    df: DataFrame, observed: str, predicted: str, *, metrics: Sequence[str] | None = None, by: Sequence[str] = (), distributed: bool = True,
 ) -> DataFrame:
     """One row of metrics, or one per group of ``by``. Undefined metrics (constant observations...) are NULL.
 
-    Groups without a known pair have no row; without ``by``, no pair gives no row. ``distributed`` ranks one
-    large group by range partitions where Spearman's window would be a single task.
+    Groups without a known pair have no row; without ``by``, no pair gives no row. Without ``by``, Spearman's
+    ranks come from range partitions; ``distributed=False`` asks for one window, which is less work where rows are few.
     """
     names = list(METRICS if metrics is None else metrics)
     other = [m for m in names if m not in METRICS]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.core.axis import ROW, Axis, numbered
 from tidewater.core.errors import ConfigurationError
+from tidewater.core.shared import broadcast_if_small
 
 
 class Fold(NamedTuple):
@@ -51,7 +52,7 @@ class Splitter(ABC):
         parts = [(k, "train", f.train_from, f.train_to) for k, f in enumerate(folds)] + [(k, "test", f.test_from, f.test_to) for k, f in enumerate(folds)]
         table = df.sparkSession.createDataFrame(parts, "fold int, role string, __from bigint, __to bigint")
         inside = (F.col(ROW) >= F.col("__from")) & (F.col(ROW) < F.col("__to"))
-        return numbered(df, axis).join(F.broadcast(table), inside).drop("__from", "__to", ROW)  # two rows a fold
+        return numbered(df, axis).join(broadcast_if_small(table), inside).drop("__from", "__to", ROW)  # two rows a fold
 
 
 class BlockingTimeSeriesSplit(Splitter):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.core.shared import broadcast_if_small
+
 
 def dms_to_dd(text: Column) -> Column:
     """Degrees, minutes and seconds in a text -> decimal degrees (double); NULL where no number is found.
@@ -48,7 +50,7 @@ def nearest_cells(grid: DataFrame, stations: DataFrame, *, lat: str = "lat", lon
     """
     def pick(axis: str, own: str, name: str) -> DataFrame:
         values = grid.select(F.col(axis).cast("double").alias("__g")).distinct().where("__g is not null")
-        met = stations.select("station_name", own).join(F.broadcast(values))  # an axis: distinct coordinates of one dimension
+        met = stations.select("station_name", own).join(broadcast_if_small(values))  # an axis: distinct coordinates of one dimension
         best = F.min_by("__g", F.struct(F.abs(F.col("__g") - F.col(own)), F.col("__g")))
         return met.groupBy("station_name").agg(best.alias(name))
 
@@ -61,7 +63,7 @@ def sample_at_points(grid: DataFrame, stations: DataFrame, *, lat: str = "lat",
     cells = nearest_cells(grid, stations, lat=lat, lon=lon)
     hit = (F.col(lat).cast("double") == F.col("cell_lat")) & (F.col(lon).cast("double") == F.col("cell_lon"))
     variables = [c for c in grid.columns if c not in (lat, lon, time, "valid_time")]
-    return grid.join(F.broadcast(cells), hit).select("station_name", F.col(stamp).alias("timestamp"), *variables)  # one row a station
+    return grid.join(broadcast_if_small(cells), hit).select("station_name", F.col(stamp).alias("timestamp"), *variables)
 
 
 def merge_station_frames(frames: list[DataFrame]) -> DataFrame:

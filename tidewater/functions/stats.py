@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidewater.core.columns import number
 from tidewater.core.errors import ConfigurationError
+from tidewater.core.shared import scratch
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -41,8 +42,8 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
         out = {}
         for a, b in pairs:  # ranks are among the rows where both are known
             known = df.select(number(df, a).alias("a"), number(df, b).alias("b")).where("a is not null and b is not null")
-            ranked = known.select(average_rank(F.col("a")).alias("a"), average_rank(F.col("b")).alias("b"))
-            out[a, b] = ranked.agg(pearson(F.col("a"), F.col("b"))).first()[0]
+            ranked = global_ranks(global_ranks(known, "a", "ra"), "b", "rb")
+            out[a, b] = ranked.agg(pearson(F.col("ra"), F.col("rb"))).first()[0]
         return out
     row = df.agg(*[pearson(number(df, a), number(df, b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
     return {p: row[k] for k, p in enumerate(pairs)}
@@ -80,7 +81,7 @@ def global_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     number each) go to the driver and come back as offsets.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    placed = counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()).persist()  # ranges are sampled: fix them
+    placed = scratch(counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "ranks")  # ranges are sampled: fix them
     before, offset = 0, []
     for part, n in sorted(map(tuple, placed.groupBy("__part").agg(F.sum("__n")).collect())):  # one row for each partition
         offset += [F.lit(part), F.lit(before)]

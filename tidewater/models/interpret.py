@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.core.columns import number
 from tidewater.core.errors import ConfigurationError
+from tidewater.core.shared import scratch
 from tidewater.evaluation.metrics import score
 from tidewater.models.gram import sum_of
 from tidewater.models.registry import Regressor, Trees
@@ -19,7 +20,8 @@ from tidewater.models.registry import Regressor, Trees
 def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
     """The frame with one column's values shuffled among the rows: two random orders joined by position."""
     def positions(rows: DataFrame, s: int, name: str) -> DataFrame:
-        mixed = rows.withColumn("__u", F.rand(s)).repartitionByRange("__u").sortWithinPartitions("__u").withColumn("__id", F.monotonically_increasing_id()).persist()
+        mixed = rows.withColumn("__u", F.rand(s)).repartitionByRange("__u").sortWithinPartitions("__u").withColumn("__id", F.monotonically_increasing_id())
+        mixed = scratch(mixed, "mixed")  # a random order: fix it
         part = F.shiftright("__id", 33)
         before, offset = 0, []
         for p, n in sorted(map(tuple, mixed.groupBy(part).count().collect())):  # one number for each partition

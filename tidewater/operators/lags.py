@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.core.axis import Axis, over_rows
-from tidewater.core.columns import number, require_numeric, value
+from tidewater.core.columns import number, require_numeric, resolve, value
 from tidewater.core.errors import ConfigurationError
 from tidewater.core.step import Step, configurable
 
@@ -18,6 +18,14 @@ AGGREGATES = {
 }
 
 
+def next_steps(df: DataFrame, column: str, axis: Axis, *, steps: int = 1, name: str | None = None) -> DataFrame:
+    """Append ``<column>_next<steps>``: the value ``steps`` rows later along ``axis``, NULL at a series' end."""
+    if not isinstance(steps, int) or isinstance(steps, bool) or steps < 1:
+        raise ConfigurationError(f"steps is a positive integer, got {steps!r}")
+    resolve(df, column)
+    return over_rows(df, axis, lambda w: {name or f"{column}_next{steps}": F.lead(value(df, column), steps).over(w)}, ahead=steps)
+
+
 @configurable
 class LagFeatures(Step):
     """Append ``<c>_lag<k>`` (k rows earlier) and ``<c>_roll<w>_<agg>`` (over the w rows before this one).

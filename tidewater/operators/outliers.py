@@ -128,10 +128,24 @@ class OutlierHandler(Step):
                 df, self.columns_, self.method, iqr_factor=self.iqr_factor, z_threshold=self.z_threshold,
                 mad_threshold=self.mad_threshold, shares=self.quantiles, approx=self.approx,
             )
-        flagged = self._flagged(df)
-        row = flagged.agg(F.sum(F.col("__any").cast("long")), F.count("*")).first()
-        self.n_outliers_ = row[0] or 0
-        self.outlier_fraction_ = self.n_outliers_ / row[1] if row[1] else 0.0
+        self._learnt_from, self._counted = df, None
+
+    def _counts(self) -> tuple[int, int]:
+        """Outlying rows and all rows of the frame that was learnt from; counted when first asked for."""
+        self.check_fitted()
+        if self._counted is None:
+            row = self._flagged(self._learnt_from).agg(F.sum(F.col("__any").cast("long")), F.count("*")).first()
+            self._counted = (row[0] or 0, row[1])
+        return self._counted
+
+    @property
+    def n_outliers_(self) -> int:
+        return self._counts()[0]
+
+    @property
+    def outlier_fraction_(self) -> float:
+        found, rows = self._counts()
+        return found / rows if rows else 0.0
 
     def _limits(self, c: str) -> tuple[Column, Column]:
         if self.method == "rolling_sigma":

@@ -22,11 +22,14 @@ def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return names
 
 
-def missingness(df: DataFrame, columns: Sequence[str] | None = None, *, kind: str = "bar") -> DataFrame:
-    """``bar``: ``column, fraction`` from least to most missing; ``matrix``: every cell as missing or not."""
+def missingness(df: DataFrame, columns: Sequence[str] | None = None, *, kind: str = "bar", keep: Sequence[str] = ()) -> DataFrame:
+    """``bar``: ``column, fraction`` from least to most missing; ``matrix``: every cell as missing or not.
+
+    ``keep`` names columns that stay beside the matrix as they are.
+    """
     names = resolve(df, list(columns) if columns is not None else None)
     if kind == "matrix":
-        return df.select(*[is_missing(df, c).alias(c) for c in names])
+        return df.select(*keep, *[is_missing(df, c).alias(c) for c in names])
     if kind != "bar":
         raise ConfigurationError(f"kind is 'bar' or 'matrix', not {kind!r}")
     row = df.agg(*[F.avg(is_missing(df, c).cast("double")).alias(f"f{k}") for k, c in enumerate(names)])

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidewater.core.axis import Axis
 from tidewater.core.step import Pipeline
 from tidewater.evaluation import metrics, splits, validation
-from tidewater.functions import calendar, geo, stats
+from tidewater.functions import calendar, geo, recipes, stats
 from tidewater.operators import CorrelationFilter, LagFeatures, MissingValueHandler, OutlierHandler, Scaler, TemporalFeatures, WindDecomposer
+from tidewater.operators.lags import next_steps
 from tidewater.operators.missing import interpolate
 from tidewater.operators.outliers import bounds
 from tidewater.operators.temporal import parsed_time
@@ -77,8 +78,7 @@ def missing_fraction(spark, d):
 
 @query(f"SELECT hour, {', '.join(f'({c} IS NULL) AS {c}' for c in TYPES)} FROM ({GAPPY_PANEL_SQL})")
 def missing_matrix(spark, d):
-    df = gappy_panel(spark, d)
-    return df.select("hour", *[F.col(c).isNull().alias(c) for c in TYPES])
+    return plots.missingness(gappy_panel(spark, d), list(TYPES), kind="matrix", keep=["hour"])
 
 
 @query(f"SELECT hour, {rs(['click', 'error'])}, (click IS NULL)::BIGINT AS click__missing, (error IS NULL)::BIGINT AS error__missing FROM ({GAPPY_PANEL_SQL})")
@@ -225,6 +225,8 @@ def _rolling(axis, strategy, window, sigma):
 _CLIP = r("CASE WHEN value < low THEN low WHEN value > high THEN high ELSE value END", 4)
 query(f"SELECT {_KEEP}, {_CLIP} AS value FROM ({rolling_sql('user_id', 12, 1.5)})", "rolling_sigma_clip")(_rolling(USERS, "clip", 12, 1.5))
 query(f"SELECT {_KEEP}, {_CLIP} AS value FROM ({rolling_sql('', 72, 2.0)})", "rolling_sigma_blocks")(_rolling(BLOCKS, "clip", 72, 2.0))
+query(f"SELECT {_KEEP}, {r('value', 4)} AS value FROM ({rolling_sql('user_id', 12, 1.5)}) WHERE NOT coalesce(value < low OR value > high, false)", "rolling_sigma_drop")(_rolling(USERS, "drop", 12, 1.5))
+query(f"SELECT {_KEEP}, {r('CASE WHEN NOT coalesce(value < low OR value > high, false) THEN value END', 4)} AS value FROM ({rolling_sql('', 72, 2.0)})", "rolling_sigma_nan")(_rolling(EVENTS, "nan", 72, 2.0))
 query(f"SELECT {_KEEP}, {r('value', 4)} AS value, coalesce((value < low OR value > high)::BIGINT, 0) AS is_outlier FROM ({rolling_sql('', 72, 2.0)})", "rolling_sigma_flag")(_rolling(EVENTS, "flag", 72, 2.0))
 
 
@@ -291,8 +293,8 @@ query(lag_sql("mean", ""), "causal_roll_blocks")(_lagged(BLOCKS, "mean"))
 
 @query(f"SELECT event_id, {r('lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS next_value FROM events")
 def next_step_target(spark, d):
-    df = table(spark, d, "events")
-    return rounded(df.select("event_id", F.lead("value", 1).over(USERS.window()).alias("next_value")))
+    df = next_steps(table(spark, d, "events"), "value", USERS, name="next_value")
+    return rounded(df.select("event_id", "next_value"))
 
 
 # --- correlation and scaling --------------------------------------------------------------------------------------
@@ -471,26 +473,12 @@ def linear_predict(spark, d):
     return rounded(make_regressor("linear").fit(df, ["p_size"], "p_retailprice").predict(df).select("p_partkey", "prediction"), 4)
 
 
-_KNN_SQL = """WITH t AS (SELECT s_suppkey, s_nationkey::DOUBLE AS a, s_acctbal AS y FROM supplier WHERE s_suppkey % 2 = 0), q AS (SELECT c_custkey, c_nationkey::DOUBLE AS a FROM customer WHERE c_custkey <= 200),
-x AS (SELECT c_custkey, y, row_number() OVER (PARTITION BY c_custkey ORDER BY (q.a - t.a) ** 2, t.a, t.y) AS k FROM q, t)"""
-
-
-@query(f"{_KNN_SQL} SELECT c_custkey, {r('avg(y)', 4)} AS prediction FROM x WHERE k <= 3 GROUP BY c_custkey")
-def knn_predict(spark, d):
-    from tidewater.models.registry import make_regressor
-
-    train = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").cast("double").alias("a"), "s_acctbal")
-    asked = table(spark, d, "customer").where("c_custkey <= 200").select("c_custkey", F.col("c_nationkey").cast("double").alias("a"))
-    return rounded(make_regressor("knn", n_neighbors=3).fit(train, ["a"], "s_acctbal").predict(asked).select("c_custkey", "prediction"), 4)
-
-
-_KNN_ALL_SQL = """WITH t AS (SELECT s_nationkey::DOUBLE AS a, s_acctbal AS y FROM supplier), q AS (SELECT c_custkey, c_nationkey::DOUBLE AS a FROM customer),
+_KNN_SQL = """WITH t AS (SELECT s_nationkey::DOUBLE AS a, s_acctbal AS y FROM supplier), q AS (SELECT c_custkey, c_nationkey::DOUBLE AS a FROM customer),
 p AS (SELECT DISTINCT a FROM q), x AS (SELECT p.a, y, row_number() OVER (PARTITION BY p.a ORDER BY (p.a - t.a) ** 2, t.a, t.y) AS k FROM p, t)"""
 
 
-@query(f"{_KNN_ALL_SQL} SELECT c_custkey, {r('any_value(m)', 4)} AS prediction FROM q JOIN (SELECT a, avg(y) AS m FROM x WHERE k <= 3 GROUP BY a) USING (a) GROUP BY c_custkey")
-def knn_predict_all(spark, d):
-    """Like knn_predict, trained on every supplier and asked for every customer."""
+@query(f"{_KNN_SQL} SELECT c_custkey, {r('any_value(m)', 4)} AS prediction FROM q JOIN (SELECT a, avg(y) AS m FROM x WHERE k <= 3 GROUP BY a) USING (a) GROUP BY c_custkey")
+def knn_predict(spark, d):
     from tidewater.models.registry import make_regressor
 
     train = table(spark, d, "supplier").select(F.col("s_nationkey").cast("double").alias("a"), "s_acctbal")
@@ -530,10 +518,6 @@ def safe_filename(spark, d):
 
 
 def _stations(spark, d):
-    return _stations_of(table(spark, d, "supplier").where("s_suppkey <= 40"))
-
-
-def _all_stations(spark, d):
     return _stations_of(table(spark, d, "supplier"))
 
 
@@ -543,8 +527,7 @@ def _stations_of(suppliers):
     )
 
 
-_STATIONS_SQL = "SELECT 'S' || s_suppkey AS station_name, (s_suppkey * 37) % 100 / 10.0 AS station_lat, (s_suppkey * 53) % 100 / 10.0 AS station_lon FROM supplier WHERE s_suppkey <= 40"
-_ALL_STATIONS_SQL = "SELECT 'S' || s_suppkey AS station_name, (s_suppkey * 37) % 100 / 10.0 AS station_lat, (s_suppkey * 53) % 100 / 10.0 AS station_lon FROM supplier"
+_STATIONS_SQL = "SELECT 'S' || s_suppkey AS station_name, (s_suppkey * 37) % 100 / 10.0 AS station_lat, (s_suppkey * 53) % 100 / 10.0 AS station_lon FROM supplier"
 _GRID_SQL = "SELECT ts AS time, (event_id % 11)::DOUBLE AS lat, (event_id % 13 * 0.75)::DOUBLE AS lon, value AS t2m FROM events"
 
 
@@ -561,16 +544,6 @@ def grid_nearest(spark, d):
     return rounded(geo.sample_at_points(_grid(spark, d), _stations(spark, d)))
 
 
-_ALL_CELLS_SQL = f"""WITH g AS ({_GRID_SQL}), s AS ({_ALL_STATIONS_SQL}),
-a AS (SELECT station_name, arg_min(lat, (abs(lat - station_lat), lat)) AS cell_lat FROM s, (SELECT DISTINCT lat FROM g) GROUP BY ALL), o AS (SELECT station_name, arg_min(lon, (abs(lon - station_lon), lon)) AS cell_lon FROM s, (SELECT DISTINCT lon FROM g) GROUP BY ALL)"""
-
-
-@query(f"{_ALL_CELLS_SQL} SELECT station_name, time AS timestamp, {r('t2m')} AS t2m FROM g JOIN a ON lat = cell_lat JOIN o USING (station_name) WHERE lon = cell_lon")
-def grid_nearest_all(spark, d):
-    """Like grid_nearest, for every supplier's station."""
-    return rounded(geo.sample_at_points(_grid(spark, d), _all_stations(spark, d)))
-
-
 _MERGE_SQL = "SELECT 'U' || user_id AS station_name, date_trunc('day', ts) AS timestamp, {agg} FROM events WHERE event_type = '{t}' GROUP BY 1, 2"
 
 
@@ -589,12 +562,6 @@ def area_box(spark, d):
     return rounded(geo.expand_area(_stations(spark, d)))
 
 
-@query(f"SELECT {r('max(station_lat) + 0.5')} AS north, {r('min(station_lon) - 0.5')} AS west, {r('min(station_lat) - 0.5')} AS south, {r('max(station_lon) + 0.5')} AS east FROM ({_ALL_STATIONS_SQL})")
-def area_box_all(spark, d):
-    """Like area_box, around every supplier's station."""
-    return rounded(geo.expand_area(_all_stations(spark, d)))
-
-
 @query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS t FROM orders")
 def parse_times(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("t"))
@@ -665,39 +632,54 @@ def topk_importance(spark, d):
 
 @query(f"SELECT event_id, {r('ln(value + 1000)')} AS log_value, " + ", ".join(f"(event_type = '{t}')::INT::DOUBLE AS is_{t}" for t in TYPES) + " FROM events WHERE NOT (hour(ts) BETWEEN 2 AND 4)")
 def one_hot_log_target(spark, d):
-    df = table(spark, d, "events").where(~F.hour("ts").between(2, 4))
-    return rounded(df.select("event_id", F.log(F.col("value") + 1000).alias("log_value"), *[(F.col("event_type") == t).cast("int").cast("double").alias(f"is_{t}") for t in TYPES]))
+    df = table(spark, d, "events").select("event_id", "event_type", (F.col("value") + 1000).alias("log_value"), F.hour("ts").alias("h"))
+    df = recipes.log_column(recipes.exclude_between(df, "h", 2, 4), "log_value")
+    return rounded(recipes.one_hot(df, "event_type", prefix="is").drop("event_type", "h"))
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS key, c_nationkey::BIGINT AS nation FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_nationkey::BIGINT FROM supplier")
 def stacked_frames(spark, d):
     a = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("bigint").alias("nation"))
     b = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").cast("bigint").alias("nation"), F.col("s_suppkey").alias("key"))
-    return a.unionByName(b)
+    return recipes.stack([a, b])
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly panel, short gaps interpolated, outliers clipped, calendar features, columns scaled."""
-    pipe = Pipeline([
+def flagship_steps() -> list:
+    return [
         MissingValueHandler(list(TYPES), "interpolate", limit=3, axis=PANEL),
         OutlierHandler(list(TYPES), "iqr", "clip"),
         TemporalFeatures("hour"),
         Scaler(list(TYPES)),
-    ])
-    panel = hourly_panel(spark, d).persist()  # each step learns from it
-    return rounded(pipe.fit_transform(panel))
+    ]
 
 
-def _flagship_sql() -> str:
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly panel, short gaps interpolated, outliers clipped, calendar features, columns scaled."""
+    return rounded(Pipeline(flagship_steps(), store=True).fit_transform(hourly_panel(spark, d)))
+
+
+def _panel_steps_sql() -> tuple[str, str]:
+    """Common table expressions of the panel after interpolation (i) and clipping (c), and the calendar fields of c."""
     one = lambda c: f"SELECT hour, {interpolated_sql(c, 3, t='epoch_us(hour)')} AS {c} FROM ({neighbours_sql(PANEL_SQL, c, 'hour', t='epoch_us(hour)')})"
     joined = " JOIN ".join(f"({one(c)}) t_{c}" + (" USING (hour)" if k else "") for k, c in enumerate(TYPES))
     b = ", ".join(f"quantile_cont({c}, [0.25, 0.75]) AS q_{c}" for c in TYPES)
     clip = ", ".join(f"CASE WHEN {c} < q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) THEN q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) WHEN {c} > q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]) THEN q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]) ELSE {c} END AS {c}" for c in TYPES)
+    fields = ", ".join(f"({_FIELD_SQL[f].replace('(t', '(c.hour')})::BIGINT AS {f}" for f in ("dayofweek", "month", "dayofyear", "is_weekend"))
+    cycles = ", ".join(_cycle_sql(f, "c.hour") for f in ("hour", "dayofweek", "month", "dayofyear"))
+    return f"WITH i AS (SELECT hour, {', '.join(TYPES)} FROM {joined}), b AS (SELECT {b} FROM i), c AS (SELECT i.hour, {clip} FROM i, b)", f"hour(c.hour)::BIGINT AS hour, {fields}, {cycles}"
+
+
+def clipped_panel_sql() -> str:
+    """The panel interpolated, clipped and with calendar fields."""
+    made, fields = _panel_steps_sql()
+    return f"{made} SELECT {rs(TYPES)}, {fields} FROM c"
+
+
+def _flagship_sql() -> str:
+    made, fields = _panel_steps_sql()
     s = ", ".join(f"avg({c}) AS a_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in TYPES)
     scaled = ", ".join(f"{r(f'({c} - a_{c}) / s_{c}')} AS {c}" for c in TYPES)
-    fields = ", ".join(f"({_FIELD_SQL[f].replace('(t', '(c.hour')})::BIGINT AS {f if f != 'hour' else 'hour_'}" for f in ("dayofweek", "month", "dayofyear", "is_weekend"))
-    cycles = ", ".join(_cycle_sql(f, "c.hour") for f in ("hour", "dayofweek", "month", "dayofyear"))
-    return f"WITH i AS (SELECT hour, {', '.join(TYPES)} FROM {joined}), b AS (SELECT {b} FROM i), c AS (SELECT i.hour, {clip} FROM i, b), s AS (SELECT {s} FROM c) SELECT hour(c.hour)::BIGINT AS hour, {scaled}, {fields}, {cycles} FROM c, s"
+    return f"{made}, s AS (SELECT {s} FROM c) SELECT {scaled}, {fields} FROM c, s"
 
 
 query(_flagship_sql(), "flagship")(flagship)
@@ -776,3 +758,6 @@ def network_predict(spark, d):
 
     df = MissingValueHandler(list(TYPES), "mean").fit_transform(hourly_panel(spark, d))
     return make_regressor("mlp", hidden=(16,), epochs=5, axis=PANEL).fit(df, ["click", "error", "purchase"], "view").predict(df)
+
+
+import tidewater.plans.interfaces  # noqa: E402, F401  registers its queries
