@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.core.shared import broadcast_if_small, scratch
+
+__all__ = ["RANGE_BYTES", "SPACES", "WORD", "broadcast_if_small", "fresh", "prime_below", "range_count", "scratch", "words_of"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows a table may have, counted at run time, before it may be broadcast.
-BROADCAST_ROWS = 100_000
-
 #: Bytes of text behind one hash range; a reducer holds one range at a time.
 RANGE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Only a local session without one gets its own."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'tidewater')}"
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/tidewater-{spark.sparkContext.applicationId}"
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(top)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only once ``df`` (a stored table) is counted to be within ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
