@@ -208,7 +208,8 @@ def round_trip(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """Append ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text's encoding and its decoding.
 
     Null text counts as empty (0 tokens, digests of the empty string). Rows are kept one to one and in
-    any number; columns of these names are replaced. One scan, no shuffle.
+    any number; columns of these names are replaced, all others stay. A very long text is one row, encoded fragment
+    by fragment; an empty table gives an empty result. One scan, no shuffle.
     """
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")

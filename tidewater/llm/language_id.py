@@ -147,8 +147,9 @@ def predict(df: DataFrame, model: Languages, *, text: str = "text") -> DataFrame
     """Append ``lang_pred``, ``score`` (0 to 1) and ``languages`` (all found, with their shares).
 
     Null texts and texts without a letter are ``und`` with score 0. Rows are kept one to one; columns of these
-    names are replaced. Ties go to the language of the smaller name. The model is broadcast: languages x
-    ``BUCKETS`` numbers.
+    names are replaced, all others stay. Ties go to the language of the smaller name; repeated rows are told alike. A very long
+    text is one row, of which ``BUCKETS`` counts are held. An empty table gives an empty result. The model is
+    broadcast: languages x ``BUCKETS`` numbers.
     """
     names, logp = model.names, df.sparkSession.sparkContext.broadcast(model.logp.astype(np.float64))
 

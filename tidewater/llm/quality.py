@@ -160,7 +160,8 @@ def assess(df: DataFrame, *, ident: str = "doc_id", text: str = "text", lang: st
     """One row per document: its measures, ``base_failed`` and ``kept``.
 
     Null text is empty and fails; null languages and sources are groups of their own; repeated rows are
-    judged alike; an empty table gives an empty result.
+    judged alike; a very long text is one row, measured like any other; other columns, whatever their names, are not
+    read; an empty table gives an empty result.
     """
     narrow = df.select(F.col(ident).alias("ident"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     measured = scratch(measures(narrow).drop("text"), "quality-measures")
@@ -171,12 +172,12 @@ def assess(df: DataFrame, *, ident: str = "doc_id", text: str = "text", lang: st
 def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that pass, with its columns as they were, whatever they are called.
 
-    Rows are stored once beside their measures, so that texts are measured once. Nulls, repeated rows, very long
+    Rows that pass the base rules are stored once beside their measures, so that texts are measured once. Nulls, repeated rows, very long
     texts and empty tables as in ``assess``.
     """
     held = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("held")
     rows = df.select(held, F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    measured = scratch(measures(rows).drop("text"), "quality-rows")
+    measured = scratch(measures(rows).drop("text").where(~base_failed()), "quality-rows")
     return judge(measured, fences(measured.drop("held"))).where("kept").select("held.*")
 
 

@@ -117,7 +117,8 @@ def count_tokens(df: DataFrame, model_path: str, *, text: str = "text", limit: i
 
     Null text counts as empty: 0 bytes, 0 tokens, not over the limit. Rows are neither dropped nor
     merged, so ties and repeats stay; columns of these names that are there already are replaced.
-    One scan, no shuffle.
+    A very long text is one row; its pieces' counts are what is held. All other columns stay, whatever their
+    names; an empty table gives an empty result. One scan, no shuffle.
     """
     out = df.withColumns({
         "n_bytes": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint"),
