@@ -91,3 +91,28 @@ def test_empty_and_constant(spark):
         assert step.outlier_fraction_ == 0.0 and step.transform(empty).count() == 0
     flat = spark.createDataFrame([(k, 2.0) for k in range(5)], "k int, x double")
     assert OutlierHandler("x", "zscore", "drop").fit_transform(flat).count() == 5
+
+
+@pytest.mark.parametrize("few", [3, 40, 10_000])
+def test_exact_quantiles(spark, monkeypatch, few):
+    """Brackets narrowed to few values: ties, constants, missing values, columns without any."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(0)
+    data = pd.DataFrame({"a": rng.normal(size=3000), "b": np.where(rng.random(3000) < 0.7, 0.0, rng.exponential(size=3000)), "c": 5.0, "d": rng.integers(0, 4, 3000).astype(float), "e": rng.normal(size=3000) * 1e-300, "g": np.where(rng.random(3000) < 0.3, np.inf, -np.inf)})
+    data.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(data).repartition(5).withColumn("f", F.lit(None).cast("double"))
+    shares = [0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0]
+    cells = [F.when(~F.isnan(c), F.col(c)) for c in df.columns]
+    got = quantiles.quantile_values(df, cells, shares)
+    assert got.pop() is None
+    for c, q in zip(data, got):
+        if c == "g":
+            assert [v for v in q if not np.isnan(v)] == [-np.inf] * 4 + [np.inf] * 3
+            continue
+        assert q == pytest.approx(np.nanquantile(data[c], shares).tolist(), rel=1e-12, abs=1e-310)

@@ -88,6 +88,21 @@ class _Rolling(Splitter):
         _at_least(0, gap=gap)
         self._train, self.test_size, self.step, self.gap, self._grows = train, test_size, step, gap, grows
 
+    def assign(self, df: DataFrame, axis: Axis) -> DataFrame:
+        """As every splitter's, but a row's folds follow from its number: there may be as many folds as rows."""
+        n, step = df.count(), self.step or self.test_size
+        last = (n - self._train - self.gap - self.test_size) // step
+        if last < 0:
+            raise ConfigurationError(f"no fold fits into {n} rows")
+        row, ahead = F.col(ROW), self._train + self.gap
+        up = lambda x: F.greatest(F.lit(0), F.ceil(x / float(step)))
+        down = lambda x: F.least(F.lit(last), F.floor(x / float(step)))
+        first_train, last_train = up(row - self._train + 1), F.lit(last) if self._grows else down(row)
+        spans = {"train": (first_train, last_train), "test": (up(row - ahead - self.test_size + 1), down(row - ahead))}
+        folds = lambda a, b: F.when(a <= b, F.sequence(a.cast("int"), b.cast("int"))).otherwise(F.array().cast("array<int>"))
+        parts = [F.transform(folds(a, b), lambda k: F.struct(k.alias("fold"), F.lit(role).alias("role"))) for role, (a, b) in spans.items()]  # noqa: B023
+        return numbered(df, axis).select("*", F.inline(F.concat(*parts))).drop(ROW)
+
     def folds(self, n: int) -> list[Fold]:
         out, move = [], 0
         while (end := move + self._train + self.gap + self.test_size) <= n:

@@ -13,6 +13,7 @@ from tidewater.core.axis import ROW, Axis, known_neighbours
 from tidewater.core.columns import is_missing, number, numeric_columns, value
 from tidewater.core.errors import ConfigurationError
 from tidewater.core.step import Step, configurable
+from tidewater.functions.quantiles import quantile_values
 
 STRATEGIES = ("drop", "mean", "median", "most_frequent", "constant", "ffill", "bfill", "interpolate", "iterative")
 ORDERED = ("ffill", "bfill", "interpolate")
@@ -120,9 +121,10 @@ class MissingValueHandler(Step):
         if self.strategy == "most_frequent":
             made = {c: F.mode(value(df, c), True) for c in columns}
         elif self.strategy in ("mean", "median"):
-            middle = (lambda x: F.percentile_approx(x, 0.5, 10_000)) if self.approx else (lambda x: F.percentile(x, F.lit(0.5)))
-            by = F.avg if self.strategy == "mean" else middle
-            made = {c: by(number(df, c)) for c in columns if c in numeric_columns(df)}
+            made = {c: F.avg(number(df, c)) for c in columns if c in numeric_columns(df)}
+            if self.strategy == "median":
+                found = quantile_values(df, [number(df, c) for c in made], [0.5], approx=self.approx)
+                return {c: q[0] for c, q in zip(made, found) if q}
         else:
             return {}
         if not made:

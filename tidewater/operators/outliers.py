@@ -13,6 +13,7 @@ from tidewater.core.axis import Axis, over_rows
 from tidewater.core.columns import number, require_numeric
 from tidewater.core.errors import ConfigurationError, SchemaError
 from tidewater.core.step import Step, configurable
+from tidewater.functions.quantiles import quantile_values
 
 METHODS = ("iqr", "zscore", "modified_zscore", "quantile", "rolling_sigma", "isolation_forest")
 TREATMENTS = ("clip", "drop", "nan", "flag")
@@ -21,18 +22,11 @@ TREATMENTS = ("clip", "drop", "nan", "flag")
 NORMAL_MAD = 0.6745
 
 
-def quantiles(x: Column, shares: list[float], approx: bool = False) -> Column:
-    """Quantiles by linear interpolation, or from a sketch."""
-    if approx:
-        return F.percentile_approx(x, shares, 10_000)
-    return F.percentile(x, F.array(*[F.lit(s) for s in shares]))
-
-
 def bounds(
     df: DataFrame, columns: list[str], method: str, *, iqr_factor: float = 1.5, z_threshold: float = 3.0, mad_threshold: float = 3.5,
     shares: tuple[float, float] = (0.01, 0.99), approx: bool = False,
 ) -> dict[str, tuple[float | None, float | None]]:
-    """Lower and upper bound per column; None where a column has too few values. One aggregate, two for MAD."""
+    """Lower and upper bound per column; None where a column has too few values."""
     if not columns:
         return {}
     x = {c: number(df, c) for c in columns}
@@ -40,13 +34,13 @@ def bounds(
         row = df.agg(*[F.array(F.avg(v), F.stddev_samp(v)).alias(f"b{k}") for k, v in enumerate(x.values())]).first()
         middle = [(m, None if s is None else z_threshold * s) for m, s in row]
     elif method == "modified_zscore":
-        row = df.agg(*[quantiles(v, [0.5], approx)[0].alias(f"b{k}") for k, v in enumerate(x.values())]).first()
-        away = [quantiles(F.abs(v - F.lit(m)), [0.5], approx)[0].alias(f"b{k}") for k, (v, m) in enumerate(zip(x.values(), row))]
-        spread = df.agg(*away).first()
+        row = [q and q[0] for q in quantile_values(df, list(x.values()), [0.5], approx=approx)]
+        away = [F.abs(v - F.lit(m).cast("double")) for v, m in zip(x.values(), row)]
+        spread = [q and q[0] for q in quantile_values(df, away, [0.5], approx=approx)]
         middle = [(m, None if d is None else mad_threshold * d / NORMAL_MAD) for m, d in zip(row, spread)]
     else:
         two = [0.25, 0.75] if method == "iqr" else list(shares)
-        row = df.agg(*[quantiles(v, two, approx).alias(f"b{k}") for k, v in enumerate(x.values())]).first()
+        row = quantile_values(df, list(x.values()), two, approx=approx)
         if method == "quantile":
             return {c: tuple(b) if b else (None, None) for c, b in zip(columns, row)}
         reach = [b and iqr_factor * (b[1] - b[0]) for b in row]

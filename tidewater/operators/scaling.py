@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.core.columns import number, require_numeric
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError
 from tidewater.core.step import Step, configurable
-from tidewater.operators.outliers import quantiles
+from tidewater.functions.quantiles import quantile_values
 
 METHODS = ("standard", "minmax", "robust", "maxabs")
 
@@ -40,10 +40,13 @@ class Scaler(Step):
         of = {
             "standard": lambda x: F.array(F.avg(x), F.stddev_pop(x)),
             "minmax": lambda x: F.array(F.min(x), F.max(x) - F.min(x)),
-            "robust": lambda x: quantiles(x, [0.25, 0.5, 0.75], self.approx),
             "maxabs": lambda x: F.array(F.lit(0.0), F.max(F.abs(x))),
-        }[self.method]
-        row = df.agg(*[of(number(df, c)).alias(f"s{k}") for k, c in enumerate(self.columns_)]).first()
+        }
+        cells = [number(df, c) for c in self.columns_]
+        if self.method == "robust":
+            row = quantile_values(df, cells, [0.25, 0.5, 0.75], approx=self.approx)
+        else:
+            row = df.agg(*[of[self.method](x).alias(f"s{k}") for k, x in enumerate(cells)]).first()
         for c, got in zip(self.columns_, row):
             got = got or [None, None, None]
             centre, scale = (got[1], got[2] - got[0] if got[2] is not None else None) if self.method == "robust" else got[:2]

@@ -13,6 +13,7 @@ from tidewater.core.errors import ConfigurationError, SchemaError
 from tidewater.evaluation.metrics import regression_metrics
 from tidewater.functions import calendar
 from tidewater.functions.stats import correlation_table
+from tidewater.functions.quantiles import quantile_values
 
 
 def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -102,18 +103,20 @@ def boxplots(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: quartiles, and the ends of whiskers within 1.5 interquartile ranges."""
     names = _numeric(df, columns)
     cells = df.select(*[number(df, c).alias(f"x{k}") for k, c in enumerate(names)])
-    q = lambda k: F.col(f"q{k}")
-    whole = cells.agg(*[a for k in range(len(names)) for a in (
-        F.percentile(f"x{k}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"), F.min(f"x{k}").alias(f"a{k}"), F.max(f"x{k}").alias(f"z{k}"), F.count(f"x{k}").alias(f"n{k}"),
-    )])
-    reach = lambda k: 1.5 * (q(k)[2] - q(k)[0])
-    inside = lambda k: F.when(F.col(f"x{k}").between(q(k)[0] - reach(k), q(k)[2] + reach(k)), F.col(f"x{k}"))
-    ends = cells.crossJoin(F.broadcast(whole)).agg(*[a for k in range(len(names)) for a in (F.min(inside(k)).alias(f"low{k}"), F.max(inside(k)).alias(f"high{k}"))])  # one row
+    quarters = [q or [None] * 3 for q in quantile_values(cells, [F.col(c) for c in cells.columns], [0.25, 0.5, 0.75])]
+    q = [[F.lit(v).cast("double") for v in three] for three in quarters]
+
+    def ends(k: int) -> list:
+        x, reach = F.col(f"x{k}"), 1.5 * (q[k][2] - q[k][0])
+        inside = F.when(x.between(q[k][0] - reach, q[k][2] + reach), x)
+        return [F.min(x).alias(f"a{k}"), F.max(x).alias(f"z{k}"), F.count(x).alias(f"n{k}"), F.min(inside).alias(f"low{k}"), F.max(inside).alias(f"high{k}")]
+
+    whole = cells.agg(*[a for k in range(len(names)) for a in ends(k)])
     rows = [F.struct(
-        F.lit(c).alias("column"), F.col(f"a{k}").alias("low"), q(k)[0].alias("q1"), q(k)[1].alias("median"), q(k)[2].alias("q3"), F.col(f"z{k}").alias("high"),
+        F.lit(c).alias("column"), F.col(f"a{k}").alias("low"), q[k][0].alias("q1"), q[k][1].alias("median"), q[k][2].alias("q3"), F.col(f"z{k}").alias("high"),
         F.col(f"n{k}").alias("n"), F.col(f"low{k}").alias("whisker_low"), F.col(f"high{k}").alias("whisker_high"),
     ) for k, c in enumerate(names)]
-    return whole.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*rows))).orderBy("column")
+    return whole.select(F.inline(F.array(*rows))).orderBy("column")
 
 
 def outliers(df: DataFrame, column: str, *, bounds=None, handler=None, time: str | None = None) -> DataFrame:
