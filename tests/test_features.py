@@ -10,7 +10,7 @@ from helpers_frames import frame, gaps, hourly, pandas_of
 from tidewater.core.axis import Axis
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError, MissingDependencyError, SchemaError
 from tidewater.functions import calendar
-from tidewater.operators import CorrelationFilter, LagFeatures, Scaler, TemporalFeatures, WindDecomposer
+from tidewater.operators import CorrelationFilter, LagFeatures, MissingValueHandler, Scaler, TemporalFeatures, WindDecomposer
 
 AXIS = Axis("ts", tie="id")
 
@@ -136,3 +136,19 @@ def test_no_python_in_plans(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 50])
+def test_blocks_within_series(spark, blocks):
+    """Long series split into blocks, null keys and short series among them: as with one window a series."""
+    rng = np.random.default_rng(0)
+    data = pd.DataFrame({"k": ["a"] * 40 + ["b"] * 3 + [None] * 9 + ["d"], "ts": pd.date_range("2024-01-01", periods=53, freq="h"), "x": rng.normal(size=53)})
+    data.loc[rng.random(53) < 0.4, "x"] = np.nan
+    df = spark.createDataFrame(data).repartition(5)
+    plain, split = Axis("ts", keys=("k",)), Axis("ts", keys=("k",), block_rows=blocks)
+    for make in (
+        lambda a: LagFeatures("x", lags=[1, 6], windows=[3], agg="mean", axis=a), lambda a: MissingValueHandler("x", "interpolate", limit=2, axis=a),
+        lambda a: MissingValueHandler("x", "ffill", axis=a),
+    ):
+        one, other = (sorted(map(str, make(a).fit_transform(df).collect())) for a in (plain, split))
+        assert one == other

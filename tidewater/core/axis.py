@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tidewater.core.columns import value
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError
-from tidewater.core.shared import scratch
+from tidewater.core.shared import broadcast_if_small, scratch
 
 
 #: Rows to a block of a series without keys, unless the axis says otherwise.
@@ -25,7 +27,8 @@ class Axis:
 
     Without keys there is one series, and one window over it would be one task. It is split into blocks of
     ``block_rows`` rows (0: ``BLOCK_ROWS``) instead, which carry copies of their neighbours' border rows and run in
-    parallel; None asks for the one window, which is less work where the series is known to be short.
+    parallel; None asks for the one window, which is less work where the series is known to be short. With keys a
+    series is one task each, unless ``block_rows`` names a number: then long series are split, too.
     """
 
     time: str
@@ -36,14 +39,14 @@ class Axis:
     @property
     def blocks(self) -> int | None:
         """Rows to a block, or None for plain windows."""
-        return None if self.keys or self.block_rows is None else self.block_rows or BLOCK_ROWS
+        return None if self.block_rows is None or self.keys and not self.block_rows else self.block_rows or BLOCK_ROWS
 
     def check(self, df: DataFrame) -> Axis:
         missing = [c for c in (self.time, *self.keys, *([self.tie] if self.tie else [])) if c not in df.columns]
         if missing:
             raise ColumnNotFoundError(f"axis columns not found: {missing}; available: {df.columns}")
-        if self.block_rows and (self.block_rows < 0 or self.keys):
-            raise ConfigurationError("block_rows is a number of rows for an axis without keys")
+        if self.block_rows and self.block_rows < 0:
+            raise ConfigurationError("block_rows is a number of rows")
         return self
 
     def order(self) -> list[Column]:
@@ -71,7 +74,8 @@ def numbered(df: DataFrame, axis: Axis) -> DataFrame:
     axis.check(df)
     if axis.blocks is None:
         return df.withColumn(ROW, (F.row_number().over(axis.window()) - 1).cast("bigint"))
-    ordered = df.repartitionByRange(*axis.order()).sortWithinPartitions(*axis.order())
+    order = [*[F.col(f"`{k}`") for k in axis.keys], *axis.order()]
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = ordered.withColumn("__at", F.monotonically_increasing_id())
     ordered = scratch(ordered, "rows")
     part = F.shiftright("__at", 33)
@@ -82,7 +86,14 @@ def numbered(df: DataFrame, axis: Axis) -> DataFrame:
         before += counts[p]
     start = F.create_map(*offset)[part] if offset else F.lit(0)
     within = F.col("__at") - F.shiftleft(part, 33)
-    return ordered.withColumn(ROW, (start + within).cast("bigint")).drop("__at")
+    placed = ordered.withColumn(ROW, (start + within).cast("bigint")).drop("__at")
+    if not axis.keys:
+        return placed
+    # Series follow each other: a row's place in its own is counted from where that begins.
+    begins = placed.groupBy(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(axis.keys)]).agg(F.min(ROW).alias("__begin"))
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(axis.keys)])
+    begun = placed.join(broadcast_if_small(begins), same)
+    return begun.withColumn(ROW, F.col(ROW) - F.col("__begin")).drop("__begin", *[f"__k{n}" for n in range(len(axis.keys))])
 
 
 def over_rows(
@@ -104,7 +115,7 @@ def over_rows(
     homes += [F.when(place >= k * size - back, F.col(BLOCK) + k) for k in reach(back)]
     homes += [F.when(place < ahead - (k - 1) * size, F.col(BLOCK) - k) for k in reach(ahead)]
     spread = rows.withColumn("__home", F.explode(F.array_compact(F.array(*homes))))
-    out = spread.withColumns(build(Window.partitionBy("__home").orderBy(ROW)))
+    out = spread.withColumns(build(Window.partitionBy(*axis.keys, "__home").orderBy(ROW)))
     return out.where(F.col("__home") == F.col(BLOCK)).drop("__home", BLOCK, ROW)
 
 
@@ -129,21 +140,23 @@ def known_neighbours(df: DataFrame, axis: Axis, columns: list[str]) -> DataFrame
             | {f"__next_{c}": F.first(k, ignorenulls=True).over(since) for c, k in known.items()}
         )
     rows = rows.withColumn(BLOCK, F.floor(F.col(ROW) / axis.blocks))
-    ends = rows.groupBy(BLOCK).agg(
+    names = [f"__k{n}" for n in range(len(axis.keys))]
+    ends = rows.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(axis.keys, names)], BLOCK).agg(
         *[F.max_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c, k in known.items()],
         *[F.min_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__first_{c}") for c, k in known.items()],
     )
-    blocks = Window.orderBy(BLOCK)  # one row per block
+    blocks = Window.partitionBy(*names).orderBy(BLOCK)  # one row per block
     before, after = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
     carried = ends.select(
-        F.col(BLOCK).alias("__b"),
+        *names, F.col(BLOCK).alias("__b"),
         *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns],
         *[F.first(f"__first_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns],
     )
-    w = Window.partitionBy(BLOCK).orderBy(ROW)
+    w = Window.partitionBy(*axis.keys, BLOCK).orderBy(ROW)
     to, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = rows.join(carried, F.col(BLOCK) == F.col("__b")).withColumns(
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(axis.keys, names)], F.col(BLOCK) == F.col("__b"))
+    out = rows.join(carried, same).withColumns(
         {f"__prev_{c}": F.coalesce(F.last(k, ignorenulls=True).over(to), F.col(f"__before_{c}")) for c, k in known.items()}
         | {f"__next_{c}": F.coalesce(F.first(k, ignorenulls=True).over(since), F.col(f"__after_{c}")) for c, k in known.items()}
     )
-    return out.drop(BLOCK, "__b", *[f"__before_{c}" for c in columns], *[f"__after_{c}" for c in columns])
+    return out.drop(BLOCK, "__b", *names, *[f"__before_{c}" for c in columns], *[f"__after_{c}" for c in columns])

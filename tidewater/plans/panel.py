@@ -16,6 +16,7 @@ PANEL = Axis("hour", block_rows=None)  # a row an hour: short whatever the event
 EVENTS = Axis("ts", tie="event_id")
 USERS = Axis("ts", keys=("user_id",), tie="event_id")
 BLOCKS = Axis("ts", tie="event_id", block_rows=1500)
+USER_BLOCKS = Axis("ts", keys=("user_id",), tie="event_id", block_rows=7)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

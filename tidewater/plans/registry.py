@@ -21,7 +21,7 @@ from tidewater.operators.outliers import bounds
 from tidewater.operators.temporal import parsed_time
 from tidewater.plans import plots
 from tidewater.plans.panel import (
-    BLOCKS, EVENTS, GAPPY_EVENTS_SQL, GAPPY_PANEL_SQL, PANEL, PANEL_SQL, TYPES, USERS, gappy_events, gappy_panel, hourly_panel, table,
+    BLOCKS, EVENTS, GAPPY_EVENTS_SQL, GAPPY_PANEL_SQL, PANEL, PANEL_SQL, TYPES, USER_BLOCKS, USERS, gappy_events, gappy_panel, hourly_panel, table,
 )
 from tidewater.sources.tables import spread
 
@@ -159,6 +159,7 @@ query(f"SELECT {_KEEP}, {r('CASE WHEN rn - p_rn <= 2 THEN p_v END')} AS value FR
 query(f"SELECT {_KEEP}, {r('CASE WHEN n_rn - rn <= 2 THEN n_v END')} AS value FROM ({_BY_USER})", "bfill_limit")(_handled(USERS, "bfill", 2))
 query(f"SELECT {_KEEP}, {r('p_v')} AS value FROM ({_ALL})", "ffill_blocks")(_handled(BLOCKS, "ffill"))
 query(f"SELECT {_KEEP}, {r(interpolated_sql('value', None))} AS value FROM ({_BY_USER})", "interpolate_time")(_handled(USERS, "interpolate"))
+query(f"SELECT {_KEEP}, {r(interpolated_sql('value', None))} AS value FROM ({_BY_USER})", "interpolate_user_blocks")(_handled(USER_BLOCKS, "interpolate"))
 query(f"SELECT {_KEEP}, {r(interpolated_sql('value', 3))} AS value FROM ({_ALL})", "interpolate_limit3")(_handled(EVENTS, "interpolate", 3))
 query(f"SELECT {_KEEP}, {r(interpolated_sql('value', 3))} AS value FROM ({_ALL})", "interpolate_blocks")(_handled(BLOCKS, "interpolate", 3))
 
@@ -224,6 +225,7 @@ def _rolling(axis, strategy, window, sigma):
 
 _CLIP = r("CASE WHEN value < low THEN low WHEN value > high THEN high ELSE value END", 4)
 query(f"SELECT {_KEEP}, {_CLIP} AS value FROM ({rolling_sql('user_id', 12, 1.5)})", "rolling_sigma_clip")(_rolling(USERS, "clip", 12, 1.5))
+query(f"SELECT {_KEEP}, {_CLIP} AS value FROM ({rolling_sql('user_id', 12, 1.5)})", "rolling_sigma_user_blocks")(_rolling(USER_BLOCKS, "clip", 12, 1.5))
 query(f"SELECT {_KEEP}, {_CLIP} AS value FROM ({rolling_sql('', 72, 2.0)})", "rolling_sigma_blocks")(_rolling(BLOCKS, "clip", 72, 2.0))
 query(f"SELECT {_KEEP}, {r('value', 4)} AS value FROM ({rolling_sql('user_id', 12, 1.5)}) WHERE NOT coalesce(value < low OR value > high, false)", "rolling_sigma_drop")(_rolling(USERS, "drop", 12, 1.5))
 query(f"SELECT {_KEEP}, {r('CASE WHEN NOT coalesce(value < low OR value > high, false) THEN value END', 4)} AS value FROM ({rolling_sql('', 72, 2.0)})", "rolling_sigma_nan")(_rolling(EVENTS, "nan", 72, 2.0))
