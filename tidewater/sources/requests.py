@@ -117,6 +117,7 @@ class CopernicusExtractor:
         """
         import tempfile
 
+        from tidewater.core.shared import scratch
         from tidewater.functions.geo import merge_station_frames, sample_at_points, safe_filename
         from tidewater.sources.grids import extract_archive, open_grids
 
@@ -130,10 +131,8 @@ class CopernicusExtractor:
         with tempfile.TemporaryDirectory() as folder:
             archive = self.retrieve(request, Path(folder) / f"download{suffix}", dataset)
             grids = (opener or open_grids)(stations.sparkSession, extract_archive(archive, Path(folder) / "files"))
-            out = merge_station_frames([sample_at_points(g, stations) for g in grids])
-            if opener is None:
-                out = out.persist()
-                out.count()  # before the files go
+            # Stored before the files go. The driver reads them: an opener must not leave that to executors.
+            out = scratch(merge_station_frames([sample_at_points(g, stations) for g in grids]), "extracted")
         if save_dir is not None:
             out.withColumn("file", safe_filename("station_name")).write.mode("overwrite").partitionBy("file").option("header", True).csv(save_dir)
         return out
