@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tidewater.llm import bpe_codec, chat, jaccard_join, language_id, mixing, pii, quality, substring_dedup, token_counts, vector_dedup
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole input table. Long texts: Python batches are kept small."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at a time: texts may be long. A setting of the session, read when a query runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole input table, to be handed to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
