@@ -67,3 +67,13 @@ def test_own_step(spark):
     out = make_pipeline(Twice()).fit_transform(df).first()
     assert (out.x, out.s, out.b) == (2, "a", True)
     assert Twice("x").copy().params() == {"columns": "x"}
+
+
+def test_scratch_restores_the_setting(spark):
+    from tidewater.core.shared import CLEAN_UP, scratch
+
+    before = spark.conf.get(CLEAN_UP)
+    df = spark.range(100).repartition(3)
+    kept = scratch(df.groupBy((df.id % 7).alias("k")).count(), "test")
+    assert sorted(r.k for r in kept.collect()) == list(range(7)) and spark.conf.get(CLEAN_UP) == before
+    assert df.count() == 100 and scratch(df, "again").count() == 100
