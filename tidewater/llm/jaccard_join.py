@@ -267,7 +267,6 @@ def candidate_groups(docs: DataFrame, classes: DataFrame, naming: Naming) -> Dat
     groups = prime_below(ranges)
     sent = docs.select("text").mapInArrow(lambda it: kernels.tidy(_prefixes(it, naming, ranges)), PACKED_DDL)
     shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(_shared(it, groups)), PACKED_DDL)
-    shared = scratch(shared, "jaccard-shared")  # what was sent, the most that is shuffled, is of no more use
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     sizes = classes.select(
         F.pmod("node", F.lit(groups)).cast("int").alias("part"), F.concat(number(F.col("node")), number(F.col("n")), number(F.col("inside"))).alias("keys"),
