@@ -9,7 +9,7 @@ from helpers_frames import frame, gaps, hourly, pandas_of
 
 from tidewater.core.axis import Axis
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError, MissingDependencyError, SchemaError
-from tidewater.functions import calendar
+from tidewater.functions import calendar, stats
 from tidewater.operators import CorrelationFilter, LagFeatures, MissingValueHandler, Scaler, TemporalFeatures, WindDecomposer
 
 AXIS = Axis("ts", tie="id")
@@ -108,6 +108,30 @@ def test_correlation_filter(spark):
         CorrelationFilter(0).fit(df)
 
 
+@pytest.mark.parametrize("levels, rows", [(4, 100_000), (12, 7), (10_000, 50), (10_000, 100_000)])
+def test_kendall_counts_discordant_pairs_in_blocks(spark, monkeypatch, levels, rows):
+    monkeypatch.setattr(stats, "KENDALL_ROWS", rows)
+    rng = np.random.default_rng(levels + rows)
+    x = rng.integers(0, levels, 400).astype(float)
+    y = np.where(rng.random(400) < 0.3, 5.0, x + rng.integers(-levels // 2, levels // 2, 400))  # a third of one value
+    data = pd.DataFrame({"x": x, "y": y, "flat": 1.0})
+    df = frame(spark, pd.concat([data, pd.DataFrame({"x": [1.0, None], "y": [None, 2.0], "flat": [1.0, 1.0]})]))
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (dx * dy).sum() / np.sqrt((dx != 0).sum() * float((dy != 0).sum()))
+    assert stats.kendall(df, "x", "y") == pytest.approx(want, abs=1e-12)
+    assert stats.kendall(df, "x", "x") == pytest.approx(1.0) and stats.kendall(df, "x", "flat") is None
+    assert stats.kendall(df.limit(0), "x", "y") is None
+
+
+def test_kendall_grid_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(stats, "KENDALL_ROWS", 1)
+    monkeypatch.setattr(stats, "KENDALL_SIDE", 8)
+    x = np.random.default_rng(0).permutation(500).astype(float)
+    y = np.random.default_rng(1).permutation(500).astype(float)
+    want = (np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum() / (500 * 499)
+    assert stats.kendall(frame(spark, pd.DataFrame({"x": x, "y": y})), "x", "y") == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("method", ["standard", "minmax", "robust", "maxabs"])
 def test_scaler(spark, method):
     data = hourly()[["ts", "no2", "o3"]].assign(flat=3.0)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.core.axis import ROW, Axis, numbered
 from tidewater.core.columns import number
 from tidewater.core.errors import ConfigurationError
 from tidewater.core.shared import scratch
@@ -49,23 +52,76 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     return {p: row[k] for k, p in enumerate(pairs)}
 
 
-#: Distinct value pairs that Kendall's tau may compare with each other.
-KENDALL_PAIRS = 5_000
+#: Distinct value pairs to a block of Kendall's count (at least), and blocks to a side of its grid (at most).
+KENDALL_ROWS, KENDALL_SIDE = 100_000, 1_000
+
+
+def _inversions(order: np.ndarray, value: np.ndarray, weight: np.ndarray) -> float:
+    """Weight of pairs with ``order`` ascending and ``value`` descending: by the highest bit of the value's rank in
+    which they differ, so that every bit is one running sum."""
+    by_value = np.lexsort((order, value))
+    rank = np.empty(len(value), np.int64)
+    rank[by_value] = np.arange(len(value))
+    seq = np.lexsort((value, order))
+    rank, weight, total = rank[seq], weight[seq], 0.0
+    for bit in range(max(len(rank) - 1, 0).bit_length() - 1, -1, -1):
+        upper = (rank >> bit) & 1 == 1
+        before = np.concatenate(([0.0], np.cumsum(np.where(upper, weight, 0.0))))
+        group = rank >> (bit + 1)
+        begins = np.searchsorted(group, group)  # groups are contiguous and ascend
+        total += float((weight * (before[:-1] - before[begins]))[~upper].sum())
+        again = np.argsort(rank >> bit, kind="stable")
+        rank, weight = rank[again], weight[again]
+    return total
+
+
+def _discordant(cells: DataFrame) -> float:
+    """Weight of pairs of cells (a, b, n) that a and b order in opposite ways.
+
+    Cells get their places i by (a, b) and j by (b, a); ties are then no inversions and both places are permutations,
+    so blocks of places have one size whatever values are frequent. Pairs within a block of i, and pairs within
+    a block of j from different blocks of i, are counted in the blocks' own tasks; the rest follow from the grid of the blocks'
+    weights, whose size is bounded.
+    """
+    first = numbered(cells, Axis("a", tie="b")).withColumnRenamed(ROW, "i")
+    placed = numbered(first, Axis("b", tie="a")).withColumnRenamed(ROW, "j")
+    size = max(KENDALL_ROWS, -(-placed.count() // KENDALL_SIDE))
+    weight = F.col("n").cast("double").alias("w")
+    placed = placed.select("i", "j", weight, F.floor(F.col("i") / size).alias("p"), F.floor(F.col("j") / size).alias("q"))
+    views = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("p").alias("block"), F.col("i").alias("order")),
+        F.struct(F.lit(1).alias("side"), F.col("q").alias("block"), F.col("p").alias("order")),
+    )
+    dealt = placed.select(F.explode(views).alias("view"), F.col("j").alias("value"), "w").select("view.*", "value", "w")
+
+    def count(part):
+        return pd.DataFrame({"w": [_inversions(*(part[c].to_numpy() for c in ("order", "value", "w")))]})
+
+    inside = dealt.groupBy("side", "block").applyInPandas(count, "w double").agg(F.sum("w")).first()[0] or 0.0
+    grid = placed.groupBy("p", "q").agg(F.sum("w").alias("w")).toPandas()  # at most KENDALL_SIDE squared cells
+    if grid.empty:
+        return inside
+    table = np.zeros((int(grid["p"].max()) + 1, int(grid["q"].max()) + 1))
+    table[grid["p"], grid["q"]] = grid["w"]
+    lower = np.zeros_like(table)  # weight of earlier blocks of i with later blocks of j
+    lower[1:, :-1] = np.cumsum(np.cumsum(table[:, ::-1], 1)[:, ::-1], 0)[:-1, 1:]
+    return inside + float((table * lower).sum())
 
 
 def kendall(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall's tau-b. Compares all distinct value pairs, so it is refused beyond ``KENDALL_PAIRS`` of them."""
+    """Kendall's tau-b over the rows where both are known; NULL where a side is constant.
+
+    Equal pairs are counted first; discordant ones are counted in blocks (``_discordant``), so no row meets all others.
+    """
     known = df.select(number(df, a).alias("a"), number(df, b).alias("b")).where("a is not null and b is not null")
-    cells = known.groupBy("a", "b").agg(F.count("*").alias("n"))
-    if cells.limit(KENDALL_PAIRS + 1).count() > KENDALL_PAIRS:
-        raise ConfigurationError(f"kendall compares at most {KENDALL_PAIRS} distinct value pairs; use spearman")
-    x, y = cells.alias("x"), F.broadcast(cells).alias("y")
-    sign = F.signum(F.col("x.a") - F.col("y.a")) * F.signum(F.col("x.b") - F.col("y.b"))
-    weight = F.col("x.n") * F.col("y.n")
-    row = x.crossJoin(y).agg(
-        F.sum(sign * weight), F.sum(F.when(F.col("x.a") != F.col("y.a"), weight)), F.sum(F.when(F.col("x.b") != F.col("y.b"), weight)),
-    ).first()
-    return row[0] / (row[1] * row[2]) ** 0.5 if row[1] and row[2] else None
+    cells = scratch(known.groupBy("a", "b").agg(F.count("*").alias("n")), "kendall")
+    n = F.col("n").cast("decimal(19,0)")
+    pairs = lambda frame: frame.agg(F.sum((n * (n - 1)).cast("double"))).first()[0] or 0.0
+    every = pairs(cells.agg(F.sum("n").alias("n")))
+    same_a, same_b = (pairs(cells.groupBy(c).agg(F.sum("n").alias("n"))) for c in ("a", "b"))
+    if every <= same_a or every <= same_b:
+        return None
+    return (every - same_a - same_b + pairs(cells) - 4 * _discordant(cells)) / ((every - same_a) * (every - same_b)) ** 0.5
 
 
 def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:

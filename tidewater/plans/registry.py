@@ -317,9 +317,9 @@ def corr_spearman(spark, d):
     return rounded(stats.correlation_table(table(spark, d, "part"), ["p_size", "p_retailprice"], "spearman"))
 
 
-@query(f"WITH c AS (SELECT s_nationkey AS a, round(s_acctbal / 500) AS b FROM supplier), p AS (SELECT sign(x.a - y.a) * sign(x.b - y.b) AS s, (x.a <> y.a)::INT AS na, (x.b <> y.b)::INT AS nb FROM c x, c y) SELECT 's_nationkey' AS a, 'balance' AS b, {r('sum(s) / sqrt(sum(na)::DOUBLE * sum(nb))')} AS r FROM p")
+@query(f"WITH c AS (SELECT s_nationkey AS a, s_acctbal AS b FROM supplier), p AS (SELECT sign(x.a - y.a) * sign(x.b - y.b) AS s, (x.a <> y.a)::INT AS na, (x.b <> y.b)::INT AS nb FROM c x, c y) SELECT 's_nationkey' AS a, 'balance' AS b, {r('sum(s) / sqrt(sum(na)::DOUBLE * sum(nb))')} AS r FROM p")
 def corr_kendall(spark, d):
-    df = table(spark, d, "supplier").select("s_nationkey", F.expr("round(s_acctbal / 500)").alias("balance"))
+    df = table(spark, d, "supplier").select("s_nationkey", F.col("s_acctbal").alias("balance"))
     return rounded(stats.correlation_table(df, ["s_nationkey", "balance"], "kendall"))
 
 
