@@ -63,3 +63,18 @@ def test_package_names():
     assert "Axis" in dir(tidewater)
     with pytest.raises(AttributeError):
         tidewater.nope
+
+
+def test_figures_of_many_rows_leave_no_place_out(spark, canvas, monkeypatch):
+    monkeypatch.setattr(draw, "POINTS", 50)
+    monkeypatch.setattr(draw, "SIDE", 10)
+    df = spark.range(0, 4000, 1, 4).select(
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.when(F.col("id") == 1234, 1e6).otherwise(F.col("id") % 5).cast("double").alias("x"),
+        F.when(F.col("id").between(2000, 2999), None).otherwise(F.lit(1.0)).alias("gap"), F.lit(2.0).alias("same"),
+    )
+    shown = draw.plot_timeseries(df, "ts", ["x"]).plot.call_args[0]
+    assert 10 <= len(shown[0]) <= 100 and shown[1].max() == 1e6 and shown[0].is_monotonic_increasing
+    assert len(draw._some(df, "ts", "same")) == 10 and len(draw._some(df, "same", "x")) == 2
+    cells = draw.plot_missingness(df, ["gap", "same"], kind="matrix").imshow.call_args[0][0]
+    assert 50 <= len(cells) <= 54 and cells[:, 0].mean() == pytest.approx(0.25, abs=0.02) and cells[:, 1].sum() == 0
+    assert len(draw._some(df.limit(0), "ts", "x")) == 0

@@ -1,7 +1,8 @@
 """Figures from the frames of ``tidewater.plans.plots``. Needs the optional package matplotlib.
 
 Each function draws on ``ax`` (a new figure's if none is given) and returns it. Only plot data reaches the
-driver: bins, quartiles, matrices, or at most ``POINTS`` rows of a scatter or a series.
+driver: bins, quartiles, matrices. Beyond ``POINTS`` rows a scatter or a series shows one row of each cell of a grid that
+holds any, so that a lone point is always drawn, and the matrix of missing cells shows shares of successive rows.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.core.errors import ConfigurationError
 from tidewater.models.interpret import extract_importances
 from tidewater.plans import plots
 from tidewater.sources.tables import require
 
-#: Rows that a figure of single points shows at most: those of the least hashes.
-POINTS = 20_000
+#: Rows that a figure shows singly; cells to a side of the grid that thins more of them out.
+POINTS, SIDE = 20_000, 200
 
 #: A palette that colour-blind readers can tell apart (Okabe & Ito).
 PALETTE = ("#0072B2", "#E69F00", "#009E73", "#D55E00", "#56B4E9", "#CC79A7", "#F0E442", "#000000")
@@ -48,9 +50,36 @@ def _axes(ax):
     return require("matplotlib.pyplot", "drawing").subplots()[1]
 
 
-def _some(df: DataFrame):
-    """At most ``POINTS`` rows as pandas."""
-    return df.orderBy(F.xxhash64(*df.columns)).limit(POINTS).toPandas()
+def _place(df: DataFrame, name: str):
+    """The column as a number: of a time, its seconds."""
+    kind = df.schema[name].dataType
+    return (F.col(name).cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(name)).cast("double")
+
+
+def _some(df: DataFrame, x: str, y: str):
+    """``x`` and ``y`` as pandas: all rows, or beyond ``POINTS`` of them one of each cell of a ``SIDE`` by ``SIDE`` grid that holds any."""
+    rows = df.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y"))
+    if rows.limit(POINTS + 1).count() <= POINTS:
+        return rows.toPandas().set_axis([x, y], axis=1)
+    at = {"__x": _place(rows, "x"), "__y": _place(rows, "y")}
+    ends = rows.select(*[c.alias(n) for n, c in at.items()]).agg(*[f(F.nanvl(n, F.lit(None))).alias(f"{f.__name__}{n}") for n in at for f in (F.min, F.max)]).first()
+    cells = []
+    for n, c in at.items():
+        low, high = ends[f"min{n}"], ends[f"max{n}"]
+        width = (high - low) / SIDE if low is not None else 0
+        cells.append((F.least(F.floor((c - low) / width), F.lit(SIDE - 1)) if width else F.lit(0)).alias(n))
+    shown = rows.groupBy(*cells).agg(F.min(F.struct(F.xxhash64("x", "y").alias("hash"), "x", "y")).alias("row"))
+    return shown.select("row.x", "row.y").toPandas().set_axis([x, y], axis=1)
+
+
+def _shares(df: DataFrame):
+    """Share of missing cells in successive rows, so many of them that about ``POINTS`` shares are left (and one for each partition)."""
+    step = -(-df.count() // POINTS) or 1
+    at = F.monotonically_increasing_id()
+    blocks = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(df.columns)], at.alias("at"))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    shares = blocks.groupBy(part.alias("part"), F.floor(row / step).alias("block")).agg(*[F.avg(f"c{k}").alias(f"c{k}") for k in range(len(df.columns))])
+    return shares.orderBy("part", "block").drop("part", "block").toDF(*df.columns).toPandas()
 
 
 def plot_missingness(df: DataFrame, columns: Sequence[str] | None = None, *, kind: str = "bar", ax=None):
@@ -61,7 +90,7 @@ def plot_missingness(df: DataFrame, columns: Sequence[str] | None = None, *, kin
         ax.barh(got["column"], 100 * got["fraction"])
         ax.set_xlabel("missing, %")
     else:
-        got = data.limit(POINTS).toPandas()
+        got = _shares(data)
         ax.imshow(got.to_numpy(float), aspect="auto", interpolation="nearest", cmap="Greys")
         ax.set_xticks(range(len(got.columns)), list(got.columns))
     return ax
@@ -100,9 +129,11 @@ def plot_correlation(df: DataFrame, columns: Sequence[str] | None = None, *, met
 
 def plot_timeseries(df: DataFrame, time: str, columns: Sequence[str] | None = None, *, ax=None):
     ax = _axes(ax)
-    got = _some(plots.timeseries(df, time, columns)).sort_values(time)
-    for c in got.columns.drop(time):
-        ax.plot(got[time], got[c], label=c)
+    rows = plots.timeseries(df, time, columns)
+    for c in rows.columns:
+        if c != time:
+            got = _some(rows, time, c).sort_values(time)
+            ax.plot(got[time], got[c], label=c)
     ax.legend()
     return ax
 
@@ -129,7 +160,7 @@ def plot_boxplots(df: DataFrame, columns: Sequence[str] | None = None, *, ax=Non
 def plot_outliers(df: DataFrame, column: str, time: str, *, bounds=None, handler=None, ax=None):
     ax = _axes(ax)
     rows = plots.outliers(df, column, bounds=bounds, handler=handler, time=time)
-    kept, out = _some(rows.where("not is_out")).sort_values(time), _some(rows.where("is_out"))
+    kept, out = _some(rows.where("not is_out"), time, column).sort_values(time), _some(rows.where("is_out"), time, column)
     ax.plot(kept[time], kept[column], ".", markersize=2)
     ax.plot(out[time], out[column], "x", color=PALETTE[3], label="outlier")
     ax.set_ylabel(column)
@@ -141,16 +172,17 @@ def plot_predictions(df: DataFrame, observed: str, predicted: str, *, kind: str
         raise ConfigurationError("kind is 'scatter', or 'timeseries' with a time column")
     ax = _axes(ax)
     pairs, r2 = plots.predictions(df, observed, predicted, time=time)
-    got, fit = _some(pairs), r2.first()
+    fit = r2.first()
     if kind == "scatter":
+        got = _some(pairs, "observed", "predicted")
         ax.plot(got["observed"], got["predicted"], ".", markersize=3)
         ends = [got[["observed", "predicted"]].min().min(), got[["observed", "predicted"]].max().max()]
         ax.plot(ends, ends, color=PALETTE[7], linewidth=1)
         ax.set(xlabel="observed", ylabel="predicted")
     else:
-        got = got.sort_values(time)
-        ax.plot(got[time], got["observed"], label="observed")
-        ax.plot(got[time], got["predicted"], label="predicted")
+        for c in ("observed", "predicted"):
+            got = _some(pairs, time, c).sort_values(time)
+            ax.plot(got[time], got[c], label=c)
         ax.legend()
     ax.set_title("R2 undefined" if fit is None or fit.r2 is None else f"R2 = {fit.r2:.3f}")
     return ax
@@ -158,7 +190,7 @@ def plot_predictions(df: DataFrame, observed: str, predicted: str, *, kind: str
 
 def plot_residuals(df: DataFrame, observed: str, predicted: str, *, ax=None):
     ax = _axes(ax)
-    got = _some(plots.residuals(df, observed, predicted)[0])
+    got = _some(plots.residuals(df, observed, predicted)[0], "predicted", "residual")
     ax.plot(got["predicted"], got["residual"], ".", markersize=3)
     ax.axhline(0.0, color=PALETTE[7], linewidth=1)
     ax.set(xlabel="predicted", ylabel="observed - predicted")
