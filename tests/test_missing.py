@@ -39,6 +39,20 @@ def test_interpolate_by_time(spark, seed, axis, limit):
     same(pandas_of(got, "id")["x"], want)
 
 
+@pytest.mark.parametrize("axis", [AXIS, KEYED, BLOCKS], ids=["window", "keys", "blocks"])
+def test_neighbours_take_no_frame_that_is_gone_through_for_each_row(spark, axis):
+    for how in ("interpolate", "bfill"):
+        got = MissingValueHandler("x", how, axis=axis).fit_transform(frame(spark, gaps(60, 0)))
+        assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("axis", [AXIS, BLOCKS], ids=["window", "blocks"])
+def test_between_neighbours_of_one_time_no_line_is_defined(spark, axis):
+    data = pd.DataFrame({"id": range(4), "ts": pd.to_datetime(["2024-01-01"] * 3 + ["2024-01-02"]), "x": [1.0, np.nan, 5.0, np.nan]})
+    got = MissingValueHandler("x", "interpolate", axis=axis).fit_transform(frame(spark, data))
+    same(pandas_of(got, "id")["x"], [1.0, np.nan, 5.0, 5.0])
+
+
 def test_interpolate_keeps_series_apart(spark):
     data = gaps(80, 5, keys=3)
     got = MissingValueHandler("x", "interpolate", axis=KEYED).fit_transform(frame(spark, data))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -119,6 +119,13 @@ def over_rows(
     return out.where(F.col("__home") == F.col(BLOCK)).drop("__home", BLOCK, ROW)
 
 
+def _both_ways(keys: Iterable[str], order: str, end: int = 0) -> tuple[WindowSpec, WindowSpec]:
+    """Frames from a series' first row to the current one and, in descending order, from its last. A frame that ends at
+    the last row of an ascending window would be gone through anew for each row, with the square of the rows."""
+    w = Window.partitionBy(*keys)
+    return tuple(w.orderBy(o).rowsBetween(Window.unboundedPreceding, end) for o in (F.asc(order), F.desc(order)))
+
+
 def known_neighbours(df: DataFrame, axis: Axis, columns: list[str]) -> DataFrame:
     """Append ``__row`` and, per column, ``__prev_<c>`` and ``__next_<c>``: structs (t, v, row) of the nearest known
     values at or before and at or after each row. ``t`` is the time in microseconds, or the row for a non-time axis.
@@ -133,11 +140,10 @@ def known_neighbours(df: DataFrame, axis: Axis, columns: list[str]) -> DataFrame
         t = F.col(ROW)
     known = {c: F.when(value(df, c).isNotNull(), F.struct(t.alias("t"), value(df, c).alias("v"), F.col(ROW).alias("row"))) for c in columns}
     if axis.blocks is None:
-        w = Window.partitionBy(*axis.keys).orderBy(ROW)
-        to, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        to, since = _both_ways(axis.keys, ROW)
         return rows.withColumns(
             {f"__prev_{c}": F.last(k, ignorenulls=True).over(to) for c, k in known.items()}
-            | {f"__next_{c}": F.first(k, ignorenulls=True).over(since) for c, k in known.items()}
+            | {f"__next_{c}": F.last(k, ignorenulls=True).over(since) for c, k in known.items()}
         )
     rows = rows.withColumn(BLOCK, F.floor(F.col(ROW) / axis.blocks))
     names = [f"__k{n}" for n in range(len(axis.keys))]
@@ -145,18 +151,16 @@ def known_neighbours(df: DataFrame, axis: Axis, columns: list[str]) -> DataFrame
         *[F.max_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c, k in known.items()],
         *[F.min_by(k, F.when(k.isNotNull(), F.col(ROW))).alias(f"__first_{c}") for c, k in known.items()],
     )
-    blocks = Window.partitionBy(*names).orderBy(BLOCK)  # one row per block
-    before, after = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _both_ways(names, BLOCK, -1)  # one row per block
     carried = ends.select(
         *names, F.col(BLOCK).alias("__b"),
         *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns],
-        *[F.first(f"__first_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns],
+        *[F.last(f"__first_{c}", ignorenulls=True).over(after).alias(f"__after_{c}") for c in columns],
     )
-    w = Window.partitionBy(*axis.keys, BLOCK).orderBy(ROW)
-    to, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    to, since = _both_ways((*axis.keys, BLOCK), ROW)
     same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(axis.keys, names)], F.col(BLOCK) == F.col("__b"))
     out = rows.join(carried, same).withColumns(
         {f"__prev_{c}": F.coalesce(F.last(k, ignorenulls=True).over(to), F.col(f"__before_{c}")) for c, k in known.items()}
-        | {f"__next_{c}": F.coalesce(F.first(k, ignorenulls=True).over(since), F.col(f"__after_{c}")) for c, k in known.items()}
+        | {f"__next_{c}": F.coalesce(F.last(k, ignorenulls=True).over(since), F.col(f"__after_{c}")) for c, k in known.items()}
     )
     return out.drop(BLOCK, "__b", *names, *[f"__before_{c}" for c in columns], *[f"__after_{c}" for c in columns])
