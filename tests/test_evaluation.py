@@ -10,6 +10,7 @@ from helpers_frames import frame, gaps
 from tidewater.core.axis import Axis
 from tidewater.core.errors import ColumnNotFoundError, ConfigurationError, SchemaError
 from tidewater.evaluation import METRICS, BlockingTimeSeriesSplit, ExpandingWindowSplit, SlidingWindowSplit, TimeSeriesSplit, cross_val_report, regression_metrics, score, temporal_train_test_split
+from tidewater.evaluation import splits
 from tidewater.evaluation.splits import holdout
 from tidewater.models.registry import make_regressor
 
@@ -60,6 +61,26 @@ def test_split_and_assign_agree(spark, blocks):
             assert sorted(r.id for r in part.collect()) == sorted(made[(made.fold == k) & (made.role == role)].id)
 
 
+@pytest.mark.parametrize("cv", [*SPLITTERS, ExpandingWindowSplit(3, 7, step=2)], ids=lambda c: type(c).__name__)
+def test_summary_is_that_of_the_assigned_rows(spark, cv, monkeypatch):
+    monkeypatch.setattr(splits, "RUN_FOLDS", 4)
+    df = frame(spark, gaps(203, 1)).select("id", "ts", "x")
+    made = cv.assign(df, AXIS).toPandas().groupby(["fold", "role"])["x"]
+    got = cv.summary(df, AXIS, {"rows": ("count", "*"), "n": ("count", "x"), "low": ("min", "x"), "high": ("max", "x"), "total": ("sum", "x")})
+    got = got.toPandas().set_index(["fold", "role"]).sort_index()
+    assert list(got.index) == list(made.size().index)
+    np.testing.assert_allclose(got, np.stack([made.size(), made.count(), made.min(), made.max(), made.sum()], 1), rtol=1e-9)
+
+
+def test_summary_of_growing_sets_does_not_repeat_rows_for_each_fold(spark):
+    rows, folds = 3_000, 2_980
+    df = spark.range(rows).selectExpr("id", "id AS ts")
+    cv = ExpandingWindowSplit(20, 1)
+    assert cv._placed(df, AXIS, first_only=True).count() == rows - 1 + folds
+    got = cv.summary(df, AXIS, {"rows": ("count", "*"), "total": ("sum", "id")}).where("role = 'train'").agg(F.count("*"), F.max("rows"), F.sum("rows")).first()
+    assert tuple(got) == (folds, rows - 1, sum(range(20, rows)))
+
+
 def test_holdout(spark):
     df = frame(spark, gaps(100, 2))
     train, test = temporal_train_test_split(df, AXIS, test_size=0.2, gap=3)

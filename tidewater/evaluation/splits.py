@@ -6,12 +6,13 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.core.axis import ROW, Axis, numbered
 from tidewater.core.errors import ConfigurationError
-from tidewater.core.shared import broadcast_if_small
+from tidewater.core.shared import broadcast_if_small, scratch
 
 
 class Fold(NamedTuple):
@@ -23,6 +24,21 @@ class Fold(NamedTuple):
     test_to: int
 
 
+#: How a part's value is made, and how values of parts make that of the whole.
+PARTS = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+#: Folds that one task runs through when training sets grow.
+RUN_FOLDS = 10_000
+
+
+def _aggregates(aggregates: dict[str, tuple[str, str]]) -> list[Column]:
+    if unknown := sorted({how for how, _ in aggregates.values()} - set(PARTS)):
+        raise ConfigurationError(f"unknown aggregates {unknown}; known: {sorted(PARTS)}")
+    if taken := sorted({"fold", "role"} & set(aggregates)):
+        raise ConfigurationError(f"names of the result's own columns: {taken}")
+    return [PARTS[how][0]("*" if c == "*" else F.col(f"`{c}`")).alias(name) for name, (how, c) in aggregates.items()]
+
+
 def _at_least(low: int, **sizes: int | None) -> None:
     for name, size in sizes.items():
         if size is not None and size < low:
@@ -55,6 +71,12 @@ class Splitter(ABC):
         return numbered(df, axis).join(broadcast_if_small(table), inside).drop("__from", "__to", ROW)  # two rows a fold
 
 
+    def summary(self, df: DataFrame, axis: Axis, aggregates: dict[str, tuple[str, str]]) -> DataFrame:
+        """``fold``, ``role`` and aggregates of the rows of each, by name: (count, sum, min or max; column)."""
+        made = _aggregates(aggregates)
+        return self.assign(df, axis).groupBy("fold", "role").agg(*made)
+
+
 class BlockingTimeSeriesSplit(Splitter):
     """Equal consecutive blocks, the last one taking the remainder; in each, an early half trains and the rest tests."""
 
@@ -90,6 +112,31 @@ class _Rolling(Splitter):
 
     def assign(self, df: DataFrame, axis: Axis) -> DataFrame:
         """As every splitter's, but a row's folds follow from its number: there may be as many folds as rows."""
+        return self._placed(df, axis)
+
+    def summary(self, df: DataFrame, axis: Axis, aggregates: dict[str, tuple[str, str]]) -> DataFrame:
+        """As every splitter's. Where training sets grow, a row counts in the first that holds it and sums run on from there:
+        rows times folds would grow with the square of the rows."""
+        made = _aggregates(aggregates)
+        if not self._grows:
+            return super().summary(df, axis, aggregates)
+        parts = self._placed(df, axis, first_only=True).groupBy("fold", "role").agg(*made)
+        parts = scratch(parts.withColumn("__run", F.floor(F.col("fold") / RUN_FOLDS)), "folds")
+        train = parts.where("role = 'train'")
+        to = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run of folds
+        whole = {name: PARTS[how][1] for name, (how, _) in aggregates.items()}
+        runs = train.groupBy("__run").agg(*[f(f"`{name}`").alias(name) for name, f in whole.items()])
+        before = runs.select(F.col("__run").alias("__r"), *[f(f"`{name}`").over(to).alias(f"__{k}") for k, (name, f) in enumerate(whole.items())])
+        within = Window.partitionBy("__run").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+        joined = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+        grown = train.join(before, F.col("__run") == F.col("__r")).select(
+            "fold", "role",
+            *[joined[aggregates[name][0]](f(f"`{name}`").over(within), F.col(f"__{k}")).alias(name) for k, (name, f) in enumerate(whole.items())],
+        )
+        return grown.unionByName(parts.where("role = 'test'").drop("__run"))
+
+    def _placed(self, df: DataFrame, axis: Axis, *, first_only: bool = False) -> DataFrame:
+        """Rows with their folds; ``first_only``: of the folds that train on a row, the first."""
         n, step = df.count(), self.step or self.test_size
         last = (n - self._train - self.gap - self.test_size) // step
         if last < 0:
@@ -98,6 +145,8 @@ class _Rolling(Splitter):
         up = lambda x: F.greatest(F.lit(0), F.ceil(x / float(step)))
         down = lambda x: F.least(F.lit(last), F.floor(x / float(step)))
         first_train, last_train = up(row - self._train + 1), F.lit(last) if self._grows else down(row)
+        if first_only:
+            last_train = F.least(first_train, last_train)
         spans = {"train": (first_train, last_train), "test": (up(row - ahead - self.test_size + 1), down(row - ahead))}
         folds = lambda a, b: F.when(a <= b, F.sequence(a.cast("int"), b.cast("int"))).otherwise(F.array().cast("array<int>"))
         parts = [F.transform(folds(a, b), lambda k: F.struct(k.alias("fold"), F.lit(role).alias("role"))) for role, (a, b) in spans.items()]  # noqa: B023

@@ -372,8 +372,8 @@ def split_sql(folds: str) -> str:
 def _folded(cv):
     def run(spark, d):
         df = table(spark, d, "events").select("event_id", "ts", "value")
-        made = cv.assign(df, Axis("ts", tie="event_id", block_rows=100_000))
-        return rounded(made.groupBy("fold", "role").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("value").alias("total")), 4)
+        wanted = {"rows": ("count", "*"), "first_ts": ("min", "ts"), "last_ts": ("max", "ts"), "total": ("sum", "value")}
+        return rounded(cv.summary(df, Axis("ts", tie="event_id", block_rows=100_000), wanted), 4)
 
     return run
 
