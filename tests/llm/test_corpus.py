@@ -894,6 +894,29 @@ def test_groups_beyond_a_tile(spark, monkeypatch):
     assert check_join(spark, [(k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(60)])
 
 
+def test_common_passages_do_not_chain_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 20)
+    monkeypatch.setattr(jaccard_join, "_wide_links", lambda *_: pytest.fail("tiles of texts that only share passages are paired"))
+    rng = np.random.default_rng(8)
+    passages = [words(rng, 12, 10**6) for _ in range(3)]
+    texts = [" ".join([*passages[k % 3], *words(rng, int(rng.integers(15, 60)), 10**6)]) for k in range(400)]
+    near = [f"{t} more" for t in texts[:30]]
+    assert len(check_join(spark, list(enumerate(texts + near)), salt=1)) == 30
+
+
+def test_holders_are_joined_as_by_all_pairs():
+    rng = np.random.default_rng(2)
+    for case in range(200):
+        k = int(rng.integers(0, 40))
+        hashes, nodes = np.sort(rng.integers(0, 4, k)).astype(np.uint64), rng.permutation(k).astype(np.int64)
+        n = rng.integers(1, 30 if case % 2 else 6, k)
+        reach = n * rng.integers(70, 134, k) // 100
+        alike = [(int(nodes[i]), int(nodes[j])) for i, j in combinations(range(k), 2) if hashes[i] == hashes[j] and n[i] <= reach[j] and n[j] <= reach[i]]
+        got = jaccard_join.joined_holders(hashes, nodes, n, reach).tolist()
+        assert {frozenset(p) for p in got} <= {frozenset(p) for p in alike}
+        assert {x: v[1] for x, v in brute_links(got, range(k)).items()} == {x: v[1] for x, v in brute_links(alike, range(k)).items()}
+
+
 def test_keep_one(spark, docs):
     out = jaccard_join.keep_one(docs)
     kept = sorted(r.doc_id for r in out.collect())

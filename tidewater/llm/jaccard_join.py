@@ -3,8 +3,10 @@
 1. A document becomes its set of hashed five-word shingles; equal sets are one node.
 2. Candidates by prefix filter: two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of
    each in any common order. Rare shingles come first: how many nodes hold a shingle is counted for all
-   shingles of one hash region, and what only one node holds needs no partner. Holders of a shingle whose
-   sizes rule each other out are not linked. Only packed lists move.
+   shingles of one hash region, and what only one node holds needs no partner. Holders of a shingle are not
+   linked if their sizes, or the shingle's place in their sets, rule each other out. Only packed lists move.
+   Groups beyond one tile are grouped again with all their shingles counted: passages that many texts have
+   in common then no longer hold them together.
 3. Nodes that share a prefix shingle fall into groups; a group's texts meet in tiles of bounded size, ordered
    by set size. In a tile, sizes and hashed bitmaps (set bits of one that the other lacks) bound the overlap
    from above; what is left is decided by exact intersection of sorted arrays. Pairs that links already
@@ -39,6 +41,9 @@ NODE_SHINGLES = 1000
 #: Share of hash space whose shingles are counted: the prefix share and some room.
 REGION = np.uint64(int((1 - NUM / DEN + 0.06) * 2**64))
 
+#: All of hash space.
+WHOLE = np.uint64(2**64 - 1)
+
 
 def prefix(n):
     """Length of the prefix of a set of n."""
@@ -79,7 +84,7 @@ class Naming:
 
 def _nodes(batches: Iterable[pa.RecordBatch], naming: Naming) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *naming.both(s), int(np.searchsorted(s, REGION))) for s in naming.sets(batch.column(1))]
+        rows = [(len(s), *naming.both(s), int(np.searchsorted(s, REGION, "right"))) for s in naming.sets(batch.column(1))]
         n, node, twin, inside = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, node, twin, inside))], names=["ident", "n", "node", "twin", "inside"],
@@ -94,14 +99,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(PACKED.names, map(list, zip(*rows)))), PACKED)
 
 
-def _prefixes(batches: Iterable[pa.RecordBatch], naming: Naming, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Texts -> shingles of the counted region, or as many as the prefix needs, with their nodes."""
+def _prefixes(batches: Iterable[pa.RecordBatch], naming: Naming, ranges: int, region: np.uint64) -> Iterator[pa.RecordBatch]:
+    """Texts -> shingles of the counted region, or as many as the prefix needs, with their nodes. Where a second column
+    names a node, another set (of a repeated identifier) is left out."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
     for batch in (b.slice(k, 50_000) for b in batches for k in range(0, b.num_rows, 50_000)):
         sets: dict[int, np.ndarray] = {}
-        for s in naming.sets(batch.column(0)):
-            if len(s):
-                sets[naming.node(s)] = s[: max(int(np.searchsorted(s, REGION)), prefix(len(s)))]
+        wanted = batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * batch.num_rows
+        for s, only in zip(naming.sets(batch.column(0)), wanted):
+            if len(s) and (node := naming.node(s)) == (node if only is None else only):
+                sets[node] = s[: max(int(np.searchsorted(s, region, "right")), prefix(len(s)))]
         if not sets:
             continue
         nodes = np.sort(np.array(list(sets), np.int64))
@@ -155,8 +162,9 @@ def _shared(batches: Iterable[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
             yield _batch(out)
 
 
-def _chosen(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """By group of nodes: sizes, and shared shingles -> by hash range, the shared shingles of each prefix with their sets' sizes.
+def _chosen(batches: Iterable[pa.RecordBatch], ranges: int, region: np.uint64) -> Iterator[pa.RecordBatch]:
+    """By group of nodes: sizes, and shared shingles -> by hash range, the shared shingles of each prefix with their sets' sizes
+    and the largest sets that can be similar if this is the first shingle in common.
 
     Rows with null ``counts`` are sizes: ``keys`` holds node, n and shingles in the region.
     """
@@ -174,7 +182,7 @@ def _chosen(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
             k = int.from_bytes(r[1][:4], "little")
             nodes.append(np.frombuffer(r[1], np.int64, k, 4)[np.frombuffer(r[1], np.uint32, offset=4 + 8 * k)])
         nodes = np.concatenate(nodes)
-        inside = hashes < REGION
+        inside = hashes <= region
         order = np.lexsort((hashes, np.where(inside, held, np.uint32(2**32 - 1)), nodes))
         hashes, nodes, inside = hashes[order], nodes[order], inside[order]
         first = np.searchsorted(nodes, nodes)
@@ -184,30 +192,47 @@ def _chosen(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.Recor
         last = np.searchsorted(nodes, nodes, "right")
         single = counted - (upto[last] - upto[first])
         room = np.where(counted < prefix(n), np.int64(2**62), prefix(n) - single)
-        keep = np.arange(len(nodes)) - first < room
-        hashes, nodes, n = hashes[keep], nodes[keep], np.minimum(n[keep], 2**32 - 1).astype(np.uint32)
+        place = np.arange(len(nodes)) - first
+        reach = (NUM + DEN) * (n - single - place) // NUM - n  # shingles from here on bound the overlap
+        keep = place < room
+        narrow = lambda x: np.clip(x[keep], 0, 2**32 - 1).astype(np.uint32)
+        hashes, nodes, n, reach = hashes[keep], nodes[keep], narrow(n), narrow(reach)
         order = np.argsort(hashes, kind="stable")
-        hashes, nodes, n = hashes[order], nodes[order], n[order]
+        hashes, nodes, n, reach = hashes[order], nodes[order], n[order], reach[order]
         part = (hashes >> shift).astype(np.int64)
-        out = [(int(part[a]), kernels.pack(hashes[a:b]), nodes[a:b].tobytes(), n[a:b].tobytes()) for a, b in kernels.slices(part)]
+        out = [(int(part[a]), kernels.pack(hashes[a:b]), nodes[a:b].tobytes(), n[a:b].tobytes() + reach[a:b].tobytes()) for a, b in kernels.slices(part)]
         if out:
             yield _batch(out)
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles by hash range -> links that join the holders of each shingle.
+def joined_holders(hashes: np.ndarray, nodes: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Pairs of nodes that connect what may be similar among the holders of each shingle, at most one pair a holder.
 
-    Holders are chained in order of size, and a chain breaks where the next set is too large for the last: all
-    sets between two that may be similar lie close enough, too.
+    Two holders may be similar if neither is larger than the other's reach. A holder meets the smaller one of the
+    farthest reach: if any smaller one may be similar to it, so is this, and all of those are to each other.
     """
+    order = np.lexsort((nodes, n, hashes))
+    hashes, nodes, n, reach = hashes[order], nodes[order], n[order], reach[order]
+    row = np.arange(len(hashes))
+    first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+    shingle = np.cumsum(first) - 1
+    wide = np.int64(1 << 33)  # beyond any reach: what comes after begins anew with each shingle
+    high = shingle * wide + np.where(reach >= n, reach + 1, 0)
+    best = np.maximum.accumulate(high)
+    record = np.maximum.accumulate(np.where(np.concatenate(([True], best[1:] > best[:-1])), row, 0)) if len(row) else row
+    upto = np.where(reach >= n, row - 1, np.searchsorted(shingle * wide + n, shingle * wide + reach, "right") - 1)
+    to = record[np.maximum(upto, 0)]
+    near = (upto >= 0) & (hashes[to] == hashes) & (reach[to] >= n) & (nodes[to] != nodes)
+    return np.unique(np.stack((nodes[near], nodes[to[near]]), 1), axis=0)
+
+
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix shingles by hash range -> links that join the holders of each shingle that may be similar."""
     for _, rows in _grouped(batches):
         hashes = np.concatenate([kernels.unpack(r[0]) for r in rows])
         nodes = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
-        n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
-        order = np.lexsort((nodes, n, hashes))
-        hashes, nodes, n = hashes[order], nodes[order], n[order]
-        near = (hashes[1:] == hashes[:-1]) & (DEN * n[:-1] >= NUM * n[1:]) & (nodes[1:] != nodes[:-1])
-        pairs = np.unique(np.stack((nodes[1:][near], nodes[:-1][near]), 1), axis=0)
+        n, reach = np.concatenate([np.frombuffer(r[2], np.uint32).reshape(2, -1) for r in rows], 1).astype(np.int64)
+        pairs = joined_holders(hashes, nodes, n, reach)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -261,11 +286,12 @@ def _verified(batches: Iterable[pa.RecordBatch], naming: Naming) -> Iterator[pa.
         yield done(rows)
 
 
-def candidate_groups(docs: DataFrame, classes: DataFrame, naming: Naming) -> DataFrame:
-    """``node, root`` of nodes that may have a partner, from texts and their nodes."""
+def candidate_groups(docs: DataFrame, classes: DataFrame, naming: Naming, region: np.uint64 = REGION, name: str = "candidates") -> DataFrame:
+    """``node, root`` of nodes that may have a partner, from texts (and, if named, their nodes) and all nodes' sizes."""
     ranges = 2 * range_count(docs, "text")
     groups = prime_below(ranges)
-    sent = docs.select("text").mapInArrow(lambda it: kernels.tidy(_prefixes(it, naming, ranges)), PACKED_DDL)
+    texts = docs.select("text", *[c for c in docs.columns if c == "node"])
+    sent = texts.mapInArrow(lambda it: kernels.tidy(_prefixes(it, naming, ranges, region)), PACKED_DDL)
     shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(_shared(it, groups)), PACKED_DDL)
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     sizes = classes.select(
@@ -273,9 +299,28 @@ def candidate_groups(docs: DataFrame, classes: DataFrame, naming: Naming) -> Dat
         F.lit(None).cast("binary").alias("values"), F.lit(None).cast("binary").alias("counts"),
     )
     mine = sizes.unionByName(shared).repartition("part").sortWithinPartitions("part")
-    chosen = mine.mapInArrow(lambda it: kernels.tidy(_chosen(it, ranges)), PACKED_DDL)
+    chosen = mine.mapInArrow(lambda it: kernels.tidy(_chosen(it, ranges, region)), PACKED_DDL)
     links = chosen.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: kernels.tidy(thinned(_candidates(it))), "a bigint, b bigint")
-    return components(links, "jaccard-candidates", thin=False)
+    return components(links, f"jaccard-{name}", thin=False)
+
+
+def _grouped_again(texts: DataFrame, members: DataFrame, naming: Naming) -> DataFrame:
+    """``members`` with the groups beyond one tile split by candidates among all their shingles."""
+    weight = F.sum(F.greatest(F.col("n") / NODE_SHINGLES, F.lit(1.0)))
+    wide = scratch(members.groupBy(F.col("root").alias("_w")).agg(weight.alias("weight")).where(F.col("weight") > TILE).select("_w"), "jaccard-chained")
+    if not wide.limit(1).count():
+        return members
+    wide = broadcast_if_small(wide)
+    mine = scratch(members.join(wide, F.col("root") == F.col("_w")).select("node", "ident", "n"), "jaccard-again")
+    rows = texts.join(broadcast_if_small(mine.select(F.col("ident").alias("_i"), "node")), F.col("ident") == F.col("_i")).select("text", "node")
+    groups = candidate_groups(scratch(rows, "jaccard-again-texts"), mine.withColumn("inside", F.col("n")), naming, WHOLE, "again")
+    again = _rooted(groups).join(mine.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    return members.join(wide, F.col("root") == F.col("_w"), "left_anti").unionByName(again)
+
+
+def _rooted(groups: DataFrame) -> DataFrame:
+    """``node, root`` with the roots among the nodes."""
+    return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 
 def link(docs: DataFrame, members: DataFrame, tiles: DataFrame, naming: Naming, name: str) -> DataFrame:
@@ -327,9 +372,12 @@ def near_duplicates(df: DataFrame, *, ident: str = "doc_id", text: str = "text",
     docs = df.select(F.col(ident).cast("bigint").alias("ident"), F.col(text).alias("text"))
     nodes, classes, naming = identified(docs, secrets.randbits(62) if salt is None else salt, bits)
     groups = candidate_groups(docs, classes, naming)
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     first = classes.drop("inside")
-    members = members.join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n").where("ident is not null")
+    members = _rooted(groups).join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n").where("ident is not null")
+    members = scratch(members, "jaccard-grouped")
+    # What may have a partner is kept by itself, so that all texts are dealt once at most.
+    docs = scratch(docs.join(broadcast_if_small(members.select(F.col("ident").alias("_i")).distinct()), F.col("ident") == F.col("_i"), "left_semi"), "jaccard-texts")
+    members = scratch(_grouped_again(docs, members, naming), "jaccard-regrouped")
     sizes = _size_places(members)
     members = scratch(_blocked(members, sizes).withColumn("label", F.col("node")), "jaccard-members")
     blocks = scratch(members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-blocks")
