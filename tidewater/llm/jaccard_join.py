@@ -402,10 +402,11 @@ def keep_one(df: DataFrame, *, ident: str = "doc_id", text: str = "text") -> Dat
     identifier, which no link can name, all stay.
     """
     found = scratch(near_duplicates(df, ident=ident, text=text), "jaccard-kept")
-    first = found.where(F.col(ident) == F.col("component_id")).groupBy(F.col(ident).alias("_first")).agg(F.count("*").alias("rows"))
-    first = scratch(first, "jaccard-first")
+    stays = F.sum((F.col(ident) == F.col("component_id")).cast("int")).alias("rows")
+    first = scratch(found.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_first")).agg(stays), "jaccard-first")
     key = F.col(ident).cast("bigint")
-    out = df.join(first.select("_first"), key == F.col("_first"), "left_semi")
+    # What goes is less than what stays: while it is few, no text is dealt.
+    out = df.where(key.isNotNull()).join(broadcast_if_small(first.where("rows = 0").select("_first")), key == F.col("_first"), "left_anti")
     if first.where("rows > 1").limit(1).count():
         out = out.dropDuplicates([ident, text])
     return out.unionByName(df.where(F.col(ident).isNull()))
