@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from tidewater.evaluation import splits
 from tidewater.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
@@ -43,6 +44,15 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in want.fetchall()), key=repr)
 
 
+def test_growing_training_sets_are_summed_on(spark, monkeypatch):
+    def assign(*_):
+        raise AssertionError("a row for each fold that trains on it")
+
+    monkeypatch.setattr(splits.ExpandingWindowSplit, "assign", assign)
+    n = spark.read.parquet(str(DATA / "events.parquet")).count()
+    assert registry.QUERIES["split_expanding"](spark, str(DATA)).count() == 2 * ((n - 265) // 150 + 1)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
